@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediastrata.llm import quality
+from mediastrata.llm import langid, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_quality_rules": quality.op8_quality_rules}
+    return {
+        "op1_language_id": langid.op1_language_id,
+        "op8_quality_rules": quality.op8_quality_rules,
+        "op9_toxicity": toxicity.op9_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
