@@ -23,6 +23,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_HOST_RATE = 0.5
+#: A host's rows meet its verdict in so many places.
+HOST_SALTS = 32
 #: Documents' worth of prior where the hosts' rates don't differ, so that the moments give none.
 FLAT_STRENGTH = 10.0
 
@@ -88,10 +90,13 @@ def host_rates(rows: DataFrame, host: Column, failed: Column) -> DataFrame:
 def with_verdict(rows: DataFrame, host: Column, failed: Column, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """rows with column __kept: not failed, and not of a bad host. rows should be a written table, as it is read twice.
 
-    Only the bad hosts are joined, by a left join whose hot keys adaptive execution can split.
+    Only the bad hosts are joined, each HOST_SALTS times, so that a hot host's rows spread over as many tasks.
     """
-    bad = host_rates(rows, host, failed).where(F.col("shrunk_rate") > max_host_rate).select(F.col("host").alias("__bad_host"))
-    return rows.join(bad, host == F.col("__bad_host"), "left").withColumn("__kept", ~failed & F.col("__bad_host").isNull()).drop("__bad_host")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1)))
+    bad = host_rates(rows, host, failed).where(F.col("shrunk_rate") > max_host_rate).select(F.col("host").alias("__bad_host"), salts.alias("__bad_salt"))
+    salt = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(HOST_SALTS))
+    joined = rows.withColumn("__salt", salt).join(bad, (host == F.col("__bad_host")) & (F.col("__salt") == F.col("__bad_salt")), "left")
+    return joined.withColumn("__kept", ~failed & F.col("__bad_host").isNull()).drop("__bad_host", "__bad_salt", "__salt")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
