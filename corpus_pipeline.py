@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediastrata.llm import quality
+from mediastrata.llm import packing, quality, simhash, toxicity
 from mediastrata.llm.common import fresh_path, table
 
 
@@ -15,7 +15,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_documents(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality_stage)]
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the toxicity threshold; the model is fitted on the labelled ones among them."""
+    return toxicity.filter_documents(docs, toxicity.fit(spark, docs, sf_dir))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document's tokens, with its place in a sequence."""
+    return packing.production_pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("simhash_near_duplicates", near_duplicates_stage),
+    ("packing", packing_stage),
+]
 
 #: No SQL form: the later stages train a model and run a tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None

@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mediastrata.llm import bpe, langid, packing, quality, tokenfile, toxicity
+import corpus_pipeline
+from mediastrata.llm import bpe, langid, packing, quality, simhash, tokenfile, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
         "op4_packing": packing.op4_packing,
+        "op5_simhash": simhash.op5_simhash,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_files": tokenfile.op10_token_files,
+        "pipeline": corpus_pipeline.run,
     }
 
 
