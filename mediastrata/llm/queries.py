@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from mediastrata.llm import bpe, langid, packing, quality, simhash, tokenfile, toxicity, vptree
+from mediastrata.llm import bpe, html_extract, langid, packing, quality, simhash, tokenfile, toxicity, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op2_html_extraction": html_extract.op2_html_extraction,
         "op3_nearest_neighbours": vptree.op3_nearest_neighbours,
         "op4_packing": packing.op4_packing,
         "op5_simhash": simhash.op5_simhash,
