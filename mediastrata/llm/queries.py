@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from mediastrata.llm import bpe, html_extract, langid, packing, quality, simhash, tokenfile, toxicity, vptree
+from mediastrata.llm import bpe, html_extract, langid, licenses, packing, quality, simhash, tokenfile, toxicity, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_nearest_neighbours": vptree.op3_nearest_neighbours,
         "op4_packing": packing.op4_packing,
         "op5_simhash": simhash.op5_simhash,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_toxicity": toxicity.op9_toxicity,
@@ -26,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality.SQL}
+    return {"op6_license_scan": licenses.SQL, "op8_quality_rules": quality.SQL}
