@@ -23,8 +23,8 @@ def fixed_size(df: DataFrame, data: Column, cap: int = DEFAULT_CAP, index_col: s
     """One row for each run of cap bytes, the last shorter; empty and null values have none. Other columns are repeated."""
     _checked(cap)
     length = F.octet_length(data)
-    starts = F.when(length > 0, F.sequence(F.lit(0), ((length - 1) / cap).cast("int")))
-    rows = df.withColumn("__data", data).withColumn(index_col, F.explode(starts).cast("bigint"))
+    starts = F.when(length > 0, F.sequence(F.lit(0).cast("bigint"), ((length - 1) / cap).cast("bigint")))
+    rows = df.withColumn("__data", data).withColumn(index_col, F.explode(starts))
     return rows.withColumn(data_col, F.substring(F.col("__data"), (F.col(index_col) * cap + 1).cast("int"), F.lit(cap))).drop("__data")
 
 

@@ -69,16 +69,21 @@ def work_id_tag(tags: Column, expected: str) -> Column:
     return F.coalesce(*[F.try_element_at(lower, F.lit(f"smed.{k}")) for k in (expected, "work_id", "original_work_id")])
 
 
-def ancestry(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = 64) -> DataFrame:
-    """(child, ancestor, depth) of chains of derivation, by doubling: each round joins paths to paths, so long chains take few rounds."""
-    paths = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).cast("bigint").alias("depth"))
-    reach = 1
-    while reach < depth:
-        longest = paths.groupBy("child").agg(F.max(F.struct("depth", "ancestor")).alias("top")).select("child", F.col("top.ancestor").alias("via"), F.col("top.depth").alias("so_far"))
-        further = longest.join(paths.select(F.col("child").alias("via"), "ancestor", F.col("depth").alias("more")), "via").select("child", "ancestor", (F.col("so_far") + F.col("more")).alias("depth"))
-        paths = paths.unionByName(further)
-        reach *= 2
-    return paths
+def ancestry(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(child, ancestor, depth) of chains of derivation: a recursive query, one join for each step up.
+
+    The depth is bounded by spark.sql.cteRecursionLevelLimit; a longer chain is an error, not a shorter answer.
+    """
+    spark = edges.sparkSession
+    rows = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("parent"))
+    return spark.sql(
+        """WITH RECURSIVE up(child, ancestor, depth) AS (
+             SELECT child, parent, 1L FROM {rows}
+             UNION ALL
+             SELECT up.child, e.parent, up.depth + 1L FROM up JOIN {rows} e ON e.child = up.ancestor)
+           SELECT child, ancestor, depth FROM up""",
+        rows=rows,
+    )
 
 
 def chain_print(chain: DataFrame, keys: list[str], name: str, depth: str) -> DataFrame:

@@ -328,7 +328,7 @@ def avcc_extradata(sps: bytes, pps: bytes) -> bytes:
 _VOTES = {"h264": {1, 5, 7, 8}, "h265": {1, 19, 20, 32, 33, 34}}
 _IDR = {"h264": {5}, "h265": {19, 20}}
 _SLICES = {"h264": range(1, 6), "h265": range(0, 32)}
-_START_CODE = re.compile(rb"\0?\0\0\1")
+_START_CODE = re.compile(rb"\x00?\x00\x00\x01")
 _BOXES = frozenset((b"ftyp", b"moov", b"moof", b"mdat", b"free", b"skip", b"wide", b"uuid", b"jumb", b"meta"))
 _LATER_BOXES = _BOXES - {b"free", b"skip", b"wide", b"uuid"}
 
