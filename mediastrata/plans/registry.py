@@ -8,11 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediastrata.functions import codec_facts, detect, timecode
+from mediastrata.functions.ed25519 import SigningKey
 from mediastrata.operators import chunking, entries, merkle, policy, ranges
+from mediastrata.plans import manifests, works
+from mediastrata.sources.staging import written
+from mediastrata.streaming import verifier
 
 Query = Callable[[SparkSession, str], DataFrame]
 CAP = 256
@@ -606,3 +610,76 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.encode("s_name", "UTF-8")
     padded = F.when(F.col("s_suppkey") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), "s_name", F.lit(" ")))
     return _table(spark, sf_dir, "supplier").select("s_suppkey", F.lower(F.hex(data)).alias("hexed"), F.base64(data).alias("encoded"), F.lower("s_name").alias("folded"), policy.clean_name(padded).alias("cleaned"))
+
+
+# --- whole works ---
+
+#: Keys for tests and examples; a real signer is passed in by the caller.
+_SIGNERS = manifests.Signers(SigningKey(bytes(range(32))), SigningKey(bytes(32)), "Example Author")
+_WORKS_SQL = "n AS (SELECT source AS work_id, doc_id, (strlen(text) + 4095) // 4096 AS k FROM documents WHERE strlen(text) > 0)"
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """One work for each source, with its documents as opaque tracks."""
+    files = _table(spark, sf_dir, "documents").select(F.col("source").alias("work_id"), F.col("doc_id").alias("input_ord"), F.encode("text", "UTF-8").alias("data"))
+    signed, chunks = works.sign(files, _SIGNERS, cap=4096)
+    return written(signed, "manifests"), written(chunks, "chunks")
+
+
+@_query(f"WITH {_WORKS_SQL} SELECT work_id, count(*) AS n_tracks, sum(k)::BIGINT AS n_chunks, true AS ok, 0::BIGINT AS n_failures, false AS tampered_ok FROM n GROUP BY work_id")
+def signed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works are signed and verified; each fails once a byte of its first chunk changes."""
+    signed, chunks = _signed(spark, sf_dir)
+    key = _SIGNERS.ttp.public_key().hex()
+    first = (F.col("track_id") == 0) & (F.col("chunk_index") == 0)
+    tampered = chunks.withColumn("data", F.when(first, F.concat(F.lit(b"\0"), F.substring("data", 2, 1 << 30))).otherwise(F.col("data")))
+    verdict = works.verify(signed, chunks, key).select("work_id", "ok", F.size("failures").cast("bigint").alias("n_failures"))
+    counts = chunks.groupBy("work_id").agg(F.countDistinct("track_id").alias("n_tracks"), F.count("*").alias("n_chunks"))
+    return counts.join(verdict, "work_id").join(works.verify(signed, tampered, key).select("work_id", F.col("ok").alias("tampered_ok")), "work_id")
+
+
+@_query(f"WITH {_WORKS_SQL} SELECT work_id, 'Original' AS kind, 'Untitled' AS title, 1::BIGINT AS n_authors, count(*) AS n_tracks, 2::BIGINT AS n_signatures, 0::BIGINT AS n_ancestors, 0::BIGINT AS n_mappings, '' AS mismatches FROM n GROUP BY work_id")
+def work_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports, and the tags of extracted files checked against the manifests they hold."""
+    signed, _ = _signed(spark, sf_dir)
+    tagged = works.verify_metadata(works.tags(signed, _SIGNERS.ttp.public_key().hex())).select("work_id", "mismatches")
+    return works.report(signed).join(tagged, "work_id")
+
+
+@_query(f"WITH {_WORKS_SQL} SELECT work_id, count(*) AS n_tracks, 0::BIGINT AS n_bytes, 'passthrough' AS mode, CASE WHEN count(*) > 1 THEN 'a raw track can''t be muxed with others' ELSE 'the extension doesn''t fit the raw track''s type' END AS error FROM n GROUP BY work_id")
+def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opaque tracks without a known type can't be extracted; every one is refused for the same reason."""
+    signed, chunks = _signed(spark, sf_dir)
+    out = works.extract(signed, chunks, "mp4")
+    return out.groupBy("work_id").agg(F.count("*").alias("n_tracks"), F.sum(F.coalesce(F.octet_length("data"), F.lit(0))).cast("bigint").alias("n_bytes"), F.min("mode").alias("mode"), F.min("error").alias("error"))
+
+
+def _audio(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A work for each user: an AAC track with one frame for each event, whose payload is the event's properties."""
+    size = F.octet_length("props") + 7
+    length = size.cast("bigint")
+    head = F.concat(
+        F.lit("FFF150"), F.lpad(F.hex(F.lit(0x80).cast("bigint").bitwiseOR(F.shiftright(length, 11))), 2, "0"), F.lpad(F.hex(F.shiftright(length, 3).bitwiseAND(F.lit(255))), 2, "0"),
+        F.lpad(F.hex(F.shiftleft(length.bitwiseAND(F.lit(7)), 5).bitwiseOR(F.lit(31))), 2, "0"), F.lit("FC"),
+    )
+    frames = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("work_id"), F.struct("ts", "event_id", F.concat(head, F.hex(F.encode("props", "UTF-8"))).alias("h")).alias("f"))
+    files = frames.groupBy("work_id").agg(F.unhex(F.array_join(F.sort_array(F.collect_list("f"))["h"], "")).alias("data"))
+    signed, chunks = works.sign(files.withColumn("input_ord", F.lit(0)), _SIGNERS, cap=1 << 20)
+    return written(signed, "manifests"), written(chunks, "chunks")
+
+
+@_query(
+    """WITH n AS (SELECT user_id::VARCHAR AS work_id, count(*) AS frames FROM events GROUP BY user_id), c AS (SELECT work_id, (frames + 42) // 43 AS n_chunks FROM n)
+SELECT 'clip-' || work_id AS work_id, least(2, n_chunks) AS n_chunks, true AS ok, least(2, n_chunks) AS n_streamed FROM c"""
+)
+def clipped_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two chunks of every audio work (43 frames of 1024 samples fit a second) are cut out, signed, verified, and verified chunk by chunk."""
+    signed, chunks = _audio(spark, sf_dir)
+    n = chunks.groupBy("work_id").agg(F.count("*").alias("n"))
+    none = F.lit(None).cast("double")
+    requests = n.select(F.col("work_id").alias("request_id"), F.concat(F.lit("clip-"), "work_id").alias("derivative_id"), "work_id", F.lit(0).cast("bigint").alias("track_id"), none.alias("start_time"), none.alias("end_time"), F.lit(0).cast("bigint").alias("start_chunk"), F.lit(2).cast("bigint").alias("end_chunk"))
+    clips, parts = works.clip(signed, chunks, written(requests, "requests"), _SIGNERS)
+    clips, parts = written(clips, "clips"), written(parts, "clip-chunks")
+    verdict = works.verify(clips, parts, _SIGNERS.ttp.public_key().hex()).select("work_id", "ok")
+    streamed = verifier.verify_chunks(parts, clips).groupBy("work_id").agg(F.sum(F.col("valid").cast("bigint")).alias("n_streamed"), F.count("*").alias("n_chunks"))
+    return verdict.join(streamed, "work_id")
