@@ -67,8 +67,8 @@ def frame(doc_id: int | None, ids: np.ndarray, compress: zstandard.ZstdCompresso
     return b"".join([head, _CHECK.pack(masked(head)), body, _CHECK.pack(masked(body))])
 
 
-def bodies(shard: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, size with the end mark, body) of each frame; the lengths' checksums are verified."""
+def bodies(shard: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(offset, size with the end mark, body, the body's checksum as stored) of each frame; the lengths' checksums are verified."""
     at, view = 0, memoryview(shard)
     while at < len(shard):
         head = bytes(view[at : at + 8])
@@ -77,7 +77,7 @@ def bodies(shard: bytes) -> Iterator[tuple[int, int, bytes]]:
         size = 8 + 4 + _LENGTH.unpack(head)[0] + 4 + 1
         if at + size > len(shard):
             raise DamagedFrame(f"cut off at byte {at}")
-        yield at, size, bytes(view[at + 12 : at + size - 5])
+        yield at, size, bytes(view[at + 12 : at + size - 5]), bytes(view[at + size - 5 : at + size - 1])
         at += size
 
 
@@ -129,7 +129,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 out = []
-                for k, (offset, size, body) in enumerate(bodies(content.as_py())):
+                for k, (offset, size, body, _) in enumerate(bodies(content.as_py())):
                     doc_id, _, n = body_head(body)
                     out.append((shard, k, offset, size, doc_id, n))
                 columns = zip(*out, strict=True) if out else [[]] * 6
@@ -138,11 +138,36 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     return _shards(spark, path).mapInArrow(rows, INDEX)
 
 
-def read_frames(spark: SparkSession, path: str, index: DataFrame, columns: str = "ids") -> DataFrame:
-    """The frames that the rows of index name, with every checksum verified.
+def _columns(shard: int, ordinals: list[int], frames: list[tuple[int | None, np.ndarray]], digest: bool) -> pa.RecordBatch:
+    first = [pa.array([shard] * len(frames), pa.int64()), pa.array(ordinals, pa.int64()), pa.array([d for d, _ in frames], pa.int64())]
+    if digest:
+        rest = {"n_tokens": pa.array([len(x) for _, x in frames], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for _, x in frames], pa.int64())}
+    else:
+        rest = {"ids": pa.array([x.astype(np.int64) for _, x in frames], pa.list_(pa.int64()))}
+    return pa.RecordBatch.from_arrays([*first, *rest.values()], names=["shard", "ordinal", "doc_id", *rest])
 
-    columns: 'ids' gives shard, ordinal, doc_id, ids; 'digest' gives n_tokens and ids_crc32 in place of ids. A shard's wanted
-    offsets travel as one array, so a shard is read once however its frames are dealt out.
+
+def _schema(digest: bool) -> str:
+    return "shard bigint, ordinal bigint, doc_id bigint, " + ("n_tokens bigint, ids_crc32 bigint" if digest else "ids array<bigint>")
+
+
+def read_all(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """shard, ordinal, doc_id, ids (with digest: n_tokens and ids_crc32) of every frame, in one pass that verifies every checksum."""
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [parse(body, check, expand) for _, _, body, check in bodies(content.as_py())]
+                yield _columns(shard, list(range(len(found))), found, digest)
+
+    return _shards(spark, path).mapInArrow(frames, _schema(digest))
+
+
+def read_frames(spark: SparkSession, path: str, index: DataFrame, digest: bool = False) -> DataFrame:
+    """The same for the frames that the rows of index name, as a shuffled reader's sample of them.
+
+    A shard's wanted offsets travel as one array to where the shard is read, so it is read once however its frames are dealt out.
     """
     wanted = index.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("offset", "ordinal"))).alias("at"))
     joined = _shards(spark, path).join(wanted, "shard").select("shard", "content", F.col("at.offset").alias("offset"), F.col("at.ordinal").alias("ordinal"))
@@ -151,20 +176,11 @@ def read_frames(spark: SparkSession, path: str, index: DataFrame, columns: str =
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
-                shard, content = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                ids_of, doc_ids = [], []
-                for at in batch.column(2)[k].as_py():
-                    doc_id, ids = parse(*body_at(content, at), expand)
-                    doc_ids.append(doc_id)
-                    ids_of.append((len(ids), zlib.crc32(ids.tobytes())) if columns == "digest" else ids)
-                first = [pa.array([shard] * len(doc_ids), pa.int64()), batch.column(3)[k].values if len(doc_ids) else pa.array([], pa.int64()), pa.array(doc_ids, pa.int64())]
-                if columns == "digest":
-                    yield pa.RecordBatch.from_arrays([*first, pa.array([n for n, _ in ids_of], pa.int64()), pa.array([c for _, c in ids_of], pa.int64())], names=["shard", "ordinal", "doc_id", "n_tokens", "ids_crc32"])
-                else:
-                    yield pa.RecordBatch.from_arrays([*first, pa.array([x.astype(np.int64) for x in ids_of], pa.list_(pa.int64()))], names=["shard", "ordinal", "doc_id", "ids"])
-
-    kind = "n_tokens bigint, ids_crc32 bigint" if columns == "digest" else "ids array<bigint>"
-    return joined.mapInArrow(frames, f"shard bigint, ordinal bigint, doc_id bigint, {kind}")
+                content = batch.column(1)[k].as_py()
+                found = [parse(*body_at(content, at), expand) for at in batch.column(2)[k].as_py()]
+                yield _columns(batch.column(0)[k].as_py(), batch.column(3)[k].as_py(), found, digest)
+
+    return joined.mapInArrow(frames, _schema(digest))
 
 
 def starts(index: DataFrame) -> DataFrame:
@@ -189,5 +205,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = fresh_path(spark, "tokens")
     index = write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
-    read = read_frames(spark, f"{path}/shards", index, "digest")
+    read = read_all(spark, f"{path}/shards", digest=True)
     return read.join(starts(index), ["shard", "ordinal"]).select("doc_id", "start", "n_tokens", "ids_crc32")
