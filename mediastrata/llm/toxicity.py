@@ -32,6 +32,8 @@ THRESHOLD = 0.7
 #: A lexicon entry stands in so many toxic sample texts at least, and raises the log odds by so much.
 LEXICON_TEXTS, LEXICON_LOG_ODDS, LEXICON_SIZE = 8, 2.0, 4000
 PREFIX = 5
+#: Texts of either label that the calibration needs for itself; with fewer it sees the trees' own rows.
+LEAST_HELD = 20
 #: How many words from a lexicon word a second-person pronoun counts as near.
 NEAR = 6
 # Second-person pronouns of English, German, French and Spanish.
@@ -220,8 +222,8 @@ def train(rows: DataFrame, max_rows: int = TRAINING_ROWS) -> Model:
     x = np.array(found["x"].to_pylist())[order]
     y = (found["toxic"].to_numpy()[order] > 0).astype(float)
     held = (found["h"].to_numpy()[order] % 10) < 3  # copies are on one side
-    if held.all() or not held.any() or len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        held = np.zeros(len(y), bool)
+    if min(y[held].sum(), (1 - y[held]).sum()) < LEAST_HELD or len(set(y[~held])) < 2:
+        held = np.zeros(len(y), bool)  # too few to calibrate on alone
     model.trees = Trees.fit(x[~held], y[~held])
     model.knots = isotonic(model.trees.margin(x[held] if held.any() else x), y[held] if held.any() else y)
     model.share = float(y.mean())
