@@ -389,6 +389,12 @@ def annexb(data: bytes) -> Stream | None:
     return out
 
 
+def holds_idr(data: bytes, codec: str) -> bool:
+    """Whether a chunk of a video track holds a random access point."""
+    kind = {"h264": "h264", "h265": "h265", "hevc": "h265"}.get(codec.lower())
+    return kind is not None and any(body < len(data) and nal_type(kind, data[body]) in _IDR[kind] for _, body in _starts(data))
+
+
 def by_codec(data: bytes, codec: str) -> Stream | None:
     """The stream of a demuxed track: parsed, else only named; None for codecs that aren't supported."""
     codec = codec.lower()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mediastrata.functions import detect
 from mediastrata.operators.chunking import DEFAULT_CAP, MAX_AUDIO_US, group_frames
@@ -69,3 +70,13 @@ def chunk_tracks(files: DataFrame, keys: list[str], data_col: str = "data", code
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), to, strict=True)], schema=to)
 
     return rows.mapInArrow(run, schema)
+
+
+@F.arrow_udf(T.BooleanType())
+def _idr(data: pa.Array, codec: pa.Array) -> pa.Array:
+    return pa.array([bitstream.holds_idr(d or b"", c or "") for d, c in zip(data.to_pylist(), codec.to_pylist(), strict=True)], pa.bool_())
+
+
+def idr_column(data: Column, codec: Column) -> Column:
+    """Whether each chunk holds a random access point; false for tracks that aren't video."""
+    return _idr(data, codec)

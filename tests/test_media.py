@@ -66,6 +66,12 @@ def test_h265():
     assert s.width is None and s.extradata.count(b"\0\0\0\1") == 2
 
 
+def test_idr_of_chunks(spark):
+    rows = [(bytearray(make.h264()), "h264"), (bytearray(make.h265()), "hevc"), (bytearray(make.h264()[:40]), "h264"), (bytearray(b"\0\0\1"), "h264"), (None, "h264"), (bytearray(make.h264()), "aac")]
+    df = spark.createDataFrame(rows, "data binary, codec string")
+    assert [r[0] for r in df.select(media.idr_column(F.col("data"), F.col("codec"))).collect()] == [True, True, False, False, False, False]
+
+
 def test_bit_reader():
     b = bitstream.Bits(make.Writer().ue(0).ue(1).ue(2).ue(7).ue(3).ue(4).bytes())
     assert [b.ue() for _ in range(4)] == [0, 1, 2, 7]
