@@ -67,7 +67,7 @@ def test_h265():
 
 
 def test_idr_of_chunks(spark):
-    rows = [(bytearray(make.h264()), "h264"), (bytearray(make.h265()), "hevc"), (bytearray(make.h264()[:40]), "h264"), (bytearray(b"\0\0\1"), "h264"), (None, "h264"), (bytearray(make.h264()), "aac")]
+    rows = [(bytearray(make.h264()), "h264"), (bytearray(make.h265()), "hevc"), (bytearray(make.h264()[:20]), "h264"), (bytearray(b"\0\0\1"), "h264"), (None, "h264"), (bytearray(make.h264()), "aac")]
     df = spark.createDataFrame(rows, "data binary, codec string")
     assert [r[0] for r in df.select(media.idr_column(F.col("data"), F.col("codec"))).collect()] == [True, True, False, False, False, False]
 
