@@ -25,6 +25,8 @@ MAX_REPEAT_PERCENT = 20
 MAX_HOST_RATE = 0.5
 #: A host's rows meet its verdict in so many places.
 HOST_SALTS = 32
+#: More bad hosts than this aren't broadcast.
+BROADCAST_HOSTS = 100_000
 #: Documents' worth of prior where the hosts' rates don't differ, so that the moments give none.
 FLAT_STRENGTH = 10.0
 
@@ -48,8 +50,8 @@ def _repeat_words(hashes: str) -> str:
     return f"if(size({hashes}) < {n}, 0L, {_let(windows, 's', found)})"
 
 
-def measures(text: str) -> Column:
-    """A struct of the rules' counts for one text column: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+def measures_sql(text: str) -> str:
+    """SQL: a struct of the rules' counts for one text column: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     split = rf"if(t = '', cast(array() as array<string>), split(t, r'[{_BLANKS}]+'))"
     trimmed = rf"regexp_replace(t, r'^[{_BLANKS}]+|[{_BLANKS}]+\z', '')"
     words = _let(trimmed, "t", split)
@@ -60,7 +62,17 @@ def measures(text: str) -> Column:
         cast(regexp_count(t, r'[#*$%&|<>]') as bigint) as n_symbols,
         {_let(lines, "l", "cast(size(l) - size(array_distinct(l)) as bigint)")} as n_dup_lines,
         {_let("transform(w, x -> xxhash64(x))", "h", _repeat_words("h"))} as n_repeat_words)"""
-    return F.expr(_let(f"coalesce({text}, '')", "t", _let(words, "w", counts)))
+    return _let(f"coalesce({text}, '')", "t", _let(words, "w", counts))
+
+
+def measures(text: str) -> Column:
+    return F.expr(measures_sql(text))
+
+
+def fails(text: str) -> Column:
+    """Whether one text fails the rules, as one expression that measures once wherever the optimizer puts it."""
+    sql = measures_sql(text)
+    return F.expr(_let(sql, "m", f"m.n_words < {MIN_WORDS} or 100 * m.n_repeat_words > {MAX_REPEAT_PERCENT} * m.n_words"))
 
 
 def measured(docs: DataFrame, text_col: str = "text", as_col: str = "__quality") -> DataFrame:
@@ -71,13 +83,14 @@ def measured(docs: DataFrame, text_col: str = "text", as_col: str = "__quality")
     return m.withColumn(as_col, q.withField("base_failed", failed))
 
 
-def host_rates(rows: DataFrame, host: Column, failed: Column) -> DataFrame:
+def host_rates(rows: DataFrame, host: Column, failed: Column, weight: Column | None = None) -> DataFrame:
     """One row per host: n_docs, n_failed, and shrunk_rate = (n_failed + strength * mean) / (n_docs + strength).
 
-    The beta prior has the mean and the variance that the hosts' own rates have. The moments are one row,
-    which reaches the hosts by an equi-join on a constant.
+    The beta prior has the mean and the variance that the hosts' own rates have. weight is how many
+    documents a row stands for. The moments are one row, which reaches the hosts by an equi-join on a constant.
     """
-    hosts = rows.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(failed.cast("long")).alias("n_failed"))
+    n = F.lit(1).cast("long") if weight is None else weight
+    hosts = rows.groupBy(host.alias("host")).agg(F.sum(n).alias("n_docs"), F.sum(F.when(failed, n).otherwise(0)).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"))
     strength = F.col("mean") * (1 - F.col("mean")) / F.nullif(F.col("var"), F.lit(0.0)) - 1
@@ -87,16 +100,25 @@ def host_rates(rows: DataFrame, host: Column, failed: Column) -> DataFrame:
     return joined.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"))
 
 
-def with_verdict(rows: DataFrame, host: Column, failed: Column, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """rows with column __kept: not failed, and not of a bad host. rows should be a written table, as it is read twice.
+def bad_hosts(rows: DataFrame, host: Column, failed: Column, weight: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """Column __bad_host: the hosts whose shrunk failure rate is above max_host_rate, as a written table."""
+    rates = host_rates(rows, host, failed, weight)
+    return materialize(rates.where(F.col("shrunk_rate") > max_host_rate).select(F.col("host").alias("__bad_host")), "bad-hosts")
+
+
+def with_verdict(rows: DataFrame, host: Column, failed: Column, bad: DataFrame) -> DataFrame:
+    """rows with column __kept: not failed, and not of a bad host.
 
-    Only the bad hosts are joined, each HOST_SALTS times, so that a hot host's rows spread over as many tasks.
+    Up to BROADCAST_HOSTS bad hosts are broadcast, so that rows stay where they are. More meet the rows in a join, where each stands
+    HOST_SALTS times, so that a hot host's rows spread over as many tasks.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1)))
-    bad = host_rates(rows, host, failed).where(F.col("shrunk_rate") > max_host_rate).select(F.col("host").alias("__bad_host"), salts.alias("__bad_salt"))
-    salt = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(HOST_SALTS))
-    joined = rows.withColumn("__salt", salt).join(bad, (host == F.col("__bad_host")) & (F.col("__salt") == F.col("__bad_salt")), "left")
-    return joined.withColumn("__kept", ~failed & F.col("__bad_host").isNull()).drop("__bad_host", "__bad_salt", "__salt")
+    if bad.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(bad), host == F.col("__bad_host"), "left")
+    else:
+        bad = bad.withColumn("__bad_salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
+        salt = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(HOST_SALTS))
+        joined = rows.withColumn("__salt", salt).join(bad, (host == F.col("__bad_host")) & (F.col("__salt") == F.col("__bad_salt")), "left").drop("__salt", "__bad_salt")
+    return joined.withColumn("__kept", ~failed & F.col("__bad_host").isNull()).drop("__bad_host")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -105,15 +127,21 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), "__quality.*"
     )
     rows = materialize(rows, "quality")
-    out = with_verdict(rows, F.col("__host"), F.col("base_failed"))
+    host, failed = F.col("__host"), F.col("base_failed")
+    out = with_verdict(rows, host, failed, bad_hosts(rows, host, failed))
     return out.withColumn("kept", F.col("__kept")).drop("__host", "__kept")
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that quality_rules keeps, with the columns of docs."""
-    rows = materialize(measured(docs, text_col).withColumn("__failed", F.col("__quality")["base_failed"]).drop("__quality"), "quality")
+    """The documents that quality_rules keeps, with the columns of docs.
+
+    The texts are measured twice, once for the hosts' rates and once where they are kept, rather than written in between.
+    """
     host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    return with_verdict(rows, host, F.col("__failed")).where("__kept").select(docs.columns)
+    rows = docs.withColumn("__failed", fails(f"`{text_col}`"))
+    counts = materialize(rows.select(host.alias("__host"), "__failed").groupBy("__host", "__failed").agg(F.count("*").alias("n")), "host-counts")
+    bad = bad_hosts(counts, F.col("__host"), F.col("__failed"), F.col("n"))
+    return with_verdict(rows, host, F.col("__failed"), bad).where("__kept").select(docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
