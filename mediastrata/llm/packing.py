@@ -5,7 +5,7 @@ a fixed number of classes. A linear program over patterns (how many pieces of ea
 the revised simplex method; a knapsack dynamic program over the dual prices finds each entering column. Patterns are
 rounded down, what is left over is packed greedily, and pieces, ranked inside their class, take the patterns' places.
 
-Only the histogram and the patterns, whose sizes the classes bound, are on the driver. Ranks are made of a rank
+The histogram and the patterns, whose sizes the classes bound, are one task's. Ranks are made of a rank
 inside a (class, bucket) and the counts of the class's earlier buckets, so a class with a third of all pieces is
 spread over as many tasks as it has buckets.
 
@@ -16,7 +16,7 @@ pieces that are alike in everything take each other's places; an empty table giv
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -81,7 +81,7 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP
     inverse = np.diag(1.0 / (capacity // sizes))
     used = demand / (capacity // sizes)
     cost, bound = np.ones(m), float(sizes @ demand) / capacity  # no packing is fuller than full
-    for step in range(max_columns):
+    for _ in range(max_columns):
         prices = cost @ inverse
         i = int(prices.argmin())
         if prices[i] < -1e-9:  # more of a class than asked for
@@ -105,9 +105,6 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP
         inverse -= np.outer(direction, row)
         inverse[out] = row
         basis[:, out], cost[out] = column, price
-        if step % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            used = np.maximum(inverse @ demand, 0)
     real = cost > 0
     return basis[:, real].T.round().astype(np.int64), np.maximum(used[real], 0)
 
@@ -163,19 +160,34 @@ def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
+def _places(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From the histogram (class, n), where the ranks of each class go: ranks low to high fill sequences from first_sequence, so many in each.
+
+    It runs in a task, whose numerical library has one thread, and not in the driver's process.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        histogram = {c: n for batch in batches for c, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+        rows, sequence, given = [], 0, dict.fromkeys(histogram, 0)
+        for times, classes, counts in patterns(histogram, class_bounds(capacity), capacity):
+            for c, a in zip(classes.tolist(), counts.tolist(), strict=True):
+                rows.append((c, given[c], given[c] + times * a, sequence, a))
+                given[c] += times * a
+            sequence += times
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        kinds = [pa.int32(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["class", "low", "high", "first_sequence", "each"])
+
+    return run
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with with_ids its ids."""
     spark = docs.sparkSession
     pieces = materialize(_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids), "pieces")
-    histogram = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most one row for each class
-    total = sum(histogram.values())
-    rows, sequence, given = [], 0, dict.fromkeys(histogram, 0)
-    for times, classes, counts in patterns(histogram, class_bounds(capacity), capacity):
-        for c, a in zip(classes.tolist(), counts.tolist(), strict=True):
-            rows.append((c, given[c], given[c] + times * a, sequence, a))
-            given[c] += times * a
-        sequence += times
-    places = spark.createDataFrame(rows, "class int, low bigint, high bigint, first_sequence bigint, each bigint")
+    histogram = pieces.groupBy("class").agg(F.count("*").alias("n"))  # at most one row for each class
+    places = materialize(histogram.coalesce(1).mapInArrow(_places(capacity), "class int, low bigint, high bigint, first_sequence bigint, each bigint"), "places")
+    total = pieces.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
