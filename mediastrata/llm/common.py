@@ -41,8 +41,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows in an Arrow batch, as one batch of long texts sits in a Python worker at a time."""
+    """Bounds the rows and bytes of an Arrow batch, as one batch of long texts sits in a Python worker at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def id_bucket(id_col: str, modulus: int) -> Column:

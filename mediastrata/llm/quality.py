@@ -87,17 +87,17 @@ def host_rates(rows: DataFrame, host: Column, failed: Column, weight: Column | N
     """One row per host: n_docs, n_failed, and shrunk_rate = (n_failed + strength * mean) / (n_docs + strength).
 
     The beta prior has the mean and the variance that the hosts' own rates have. weight is how many
-    documents a row stands for. The moments are one row, which reaches the hosts by an equi-join on a constant.
+    documents a row stands for. The moments are one row, taken to the driver.
     """
     n = F.lit(1).cast("long") if weight is None else weight
     hosts = rows.groupBy(host.alias("host")).agg(F.sum(n).alias("n_docs"), F.sum(F.when(failed, n).otherwise(0)).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var"))
     strength = F.col("mean") * (1 - F.col("mean")) / F.nullif(F.col("var"), F.lit(0.0)) - 1
-    prior = prior.select("mean", F.when(strength > 0, strength).otherwise(FLAT_STRENGTH).alias("strength"), F.lit(1).alias("one"))
-    joined = hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one")  # broadcast: a single row
-    shrunk = (F.col("n_failed") + F.col("strength") * F.col("mean")) / (F.col("n_docs") + F.col("strength"))
-    return joined.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"))
+    prior = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var")).select("mean", F.when(strength > 0, strength).otherwise(FLAT_STRENGTH).alias("strength")).first()
+    if prior["mean"] is None:  # no hosts
+        return hosts.withColumn("shrunk_rate", F.lit(0.0))
+    shrunk = (F.col("n_failed") + F.lit(prior["strength"]) * F.lit(prior["mean"])) / (F.col("n_docs") + F.lit(prior["strength"]))
+    return hosts.withColumn("shrunk_rate", shrunk)
 
 
 def bad_hosts(rows: DataFrame, host: Column, failed: Column, weight: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
