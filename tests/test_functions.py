@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,6 +33,19 @@ def test_blake3_vectors(size, digest):
     assert hashing.blake3(_input(size)).hex() == digest
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.binary(max_size=1024))
+def test_blake3_short_and_long_forms_agree(data):
+    """A message is hashed by either form to the same chunk value: that of the vectorized form, over the chunk padded into a longer one."""
+    value = np.tile(hashing._IV, (1, 1))
+    last = max(0, len(data) - 1) // 64
+    for k in range(last + 1):
+        block = np.frombuffer(data[64 * k : 64 * k + 64].ljust(64, b"\0"), dtype="<u4").astype(np.uint32)[None]
+        flags = (1 if k == 0 else 0) | (2 | 8 if k == last else 0)
+        value = hashing._compress(value, block, np.zeros(1, np.uint64), np.array([len(data[64 * k : 64 * k + 64])], np.uint32), np.array([flags], np.uint32))
+    assert value[0].astype("<u4").tobytes() == hashing.blake3(data)
+
+
 def test_ed25519_vectors():
     """RFC 8032, section 7.1, tests 1 and 2."""
     one = ed25519.SigningKey(bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60"))

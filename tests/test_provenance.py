@@ -68,7 +68,7 @@ def _leaf(k: int) -> bytes:
     return blake3(f"chunk{k}".encode())
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=20, deadline=None)
 @given(st.integers(1, 40))
 def test_every_blake3_proof_verifies(n):
     leaves = [_leaf(k) for k in range(n)]
