@@ -46,6 +46,12 @@ def test_blake3_short_and_long_forms_agree(data):
     assert value[0].astype("<u4").tobytes() == hashing.blake3(data)
 
 
+def test_blake3_of_many():
+    sizes = [0, 1, 64, 65, 1023, 1024, 1025, 2048, 2049, 3073, 5000, 31744]
+    assert hashing.blake3_many([_input(n) for n in sizes]) == [hashing.blake3(_input(n)) for n in sizes]
+    assert hashing.blake3_many([]) == []
+
+
 def test_ed25519_vectors():
     """RFC 8032, section 7.1, tests 1 and 2."""
     one = ed25519.SigningKey(bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60"))
