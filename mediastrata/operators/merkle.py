@@ -70,9 +70,16 @@ def node_levels(hashed: DataFrame, keys: list[str], depth: int, order: str = "ch
     return out
 
 
-def root_by_levels(hashed: DataFrame, keys: list[str], depth: int, order: str = "chunk_index", algorithm: str = "sha256") -> DataFrame:
-    """keys and merkle_root of trees of any size up to 2^depth leaves, with a tree's nodes spread over tasks."""
-    return node_levels(hashed, keys, depth, order, algorithm)[-1].where("pos = 0").select(*keys, F.col("hash").alias("merkle_root"))
+def root_by_levels(hashed: DataFrame, keys: list[str], depth: int | None = None, order: str = "chunk_index", algorithm: str = "sha256") -> DataFrame:
+    """keys and merkle_root, with a tree's nodes spread over tasks.
+
+    The depth is the largest tree's, counted first; a given depth that leaves a tree with more than one node is an error, not a prefix's root.
+    """
+    if depth is None:
+        most = hashed.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        depth = max(0, (most or 0) - 1).bit_length()
+    single = F.when(F.col("pos") == 0, F.lit(True)).otherwise(F.raise_error(F.lit(f"a tree has more than 2^{depth} leaves")).cast("boolean"))
+    return node_levels(hashed, keys, depth, order, algorithm)[-1].where(single).select(*keys, F.col("hash").alias("merkle_root"))
 
 
 def proofs(hashed: DataFrame, keys: list[str], order: str = "chunk_index") -> DataFrame:

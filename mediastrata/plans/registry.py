@@ -82,7 +82,7 @@ def merkle_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH RECURSIVE {_LEVELS_SQL} SELECT doc_id, nodes[1] AS merkle_root FROM t WHERE len(nodes) = 1")
 def merkle_roots_by_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merkle.root_by_levels(_hashed_chunks(spark, sf_dir), ["doc_id"], 9)
+    return merkle.root_by_levels(_hashed_chunks(spark, sf_dir), ["doc_id"])
 
 
 _PROOFS_SQL = (
