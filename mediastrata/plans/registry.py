@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediastrata.functions import codec_facts, detect, timecode
@@ -198,6 +198,20 @@ def chunk_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.hex(entries.chunk_bytes(F.encode("text", "UTF-8"), F.lit(1), F.lit(3))).alias("chunk"))
 
 
+@_query(f"WITH {_CHUNKS_SQL} SELECT doc_id, chunk_index, {CAP} * chunk_index AS \"offset\", len(x) // 2 AS size, upper(x) AS chunk FROM c")
+def whole_chunk_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of every document, read at its offset; chunk_reads takes three bytes of the longer ASCII texts only, as its SQL does."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
+    length = F.octet_length("bytes").cast("bigint")
+    starts = F.when(length > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((length - 1) / CAP)))
+
+    def read(i: Column) -> Column:
+        size = F.least(F.lit(CAP).cast("bigint"), length - i * CAP)
+        return F.struct(i.alias("chunk_index"), (i * CAP).alias("offset"), size.alias("size"), F.hex(entries.chunk_bytes(F.col("bytes"), i * CAP, size)).alias("chunk"))
+
+    return docs.select("doc_id", F.explode(F.transform(starts, read)).alias("c")).select("doc_id", "c.*")
+
+
 # --- detection and codec facts ---
 
 _PREFIXES = (

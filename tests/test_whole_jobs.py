@@ -24,3 +24,13 @@ def test_roots_by_levels_of_no_chunks_and_of_too_small_a_depth(spark):
     assert merkle.root_by_levels(hashed.limit(0), ["doc_id"]).collect() == []
     with pytest.raises(Exception, match="more than 2\\^2 leaves"):
         merkle.root_by_levels(hashed, ["doc_id"], 2).collect()
+
+
+def test_every_chunk_of_every_text_is_read(spark, tmp_path):
+    texts = {1: "Größe é " * 200, 2: "abc", 3: "", 4: "x" * 512, 5: "plain ASCII text " * 40}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["whole_chunk_reads"](spark, str(tmp_path)).collect()
+    assert all(r["offset"] == r["chunk_index"] * registry.CAP and r["size"] * 2 == len(r["chunk"]) for r in found)
+    for k, text in texts.items():
+        parts = sorted((r["chunk_index"], r["chunk"]) for r in found if r["doc_id"] == k)
+        assert bytes.fromhex("".join(c for _, c in parts)) == text.encode()
