@@ -114,13 +114,23 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("id").isNotNull() & v.isNotNull() & finite & some).withColumn("dim", F.size("v"))
 
 
-def _first_ids(v: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Rows to keep: of equal vectors those with the `most` smallest ids, as no other can be among the nearest."""
+def _first_ids(v: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows to keep: of equal vectors the first 2 k by id, of which no id has more than k.
+
+    So k rows of the smallest other ids are left to a query that leaves out its own id; no further row can be among its nearest.
+    """
     order = np.lexsort((ids, *v.T[::-1]))
+
+    def place(new: np.ndarray) -> np.ndarray:
+        return np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
     new = np.ones(len(v), bool)
     new[1:] = (v[order][1:] != v[order][:-1]).any(axis=1)
-    start = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-    return np.sort(order[np.arange(len(v)) - start < most])
+    other = new.copy()
+    other[1:] |= ids[order][1:] != ids[order][:-1]
+    few = place(other) < k
+    order, new = order[few], new[few]
+    return np.sort(order[place(new) < 2 * k])
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -137,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, factor:
         if not len(points) or not len(asked):
             return pd.DataFrame({"n": [], "query_id": [], "vec_id": [], "score": []})
         v, ids = np.stack(points["v"].to_numpy()), points["id"].to_numpy()
-        keep = _first_ids(v, ids, k + 1)
+        keep = _first_ids(v, ids, k)
         v, ids = v[keep], ids[keep]
         w, own = np.stack(asked["v"].to_numpy()), asked["id"].to_numpy()
         scale, w_scale = np.abs(v).max(axis=1, keepdims=True), np.abs(w).max(axis=1, keepdims=True)  # so that squares don't overflow
