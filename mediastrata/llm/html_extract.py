@@ -29,10 +29,17 @@ from mediastrata.llm.common import small_batches, table, text_list
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp "
+    # Formulas and drawings stand inside a sentence.
+    "math semantics annotation mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd "
+    "svg g defs symbol use desc metadata path rect circle ellipse line polyline polygon text tspan textpath image clippath mask marker pattern filter lineargradient radialgradient stop".split()
 )
-#: Raw content and controls that a reader never sees as text.
-HIDDEN = frozenset("script style template head title textarea select option button noscript iframe svg math object canvas audio video".split())
+#: Inline, but a reader sees a gap before them.
+_SPACED = frozenset("mtd text".split())
+#: Raw content, controls, and parts of formulas and drawings that a reader never sees as text.
+HIDDEN = frozenset("script style template head title textarea select option button noscript iframe annotation annotation-xml defs symbol desc metadata object canvas audio video".split())
+#: What can stand in a head; any other element, or text, ends it.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag of the key ends an open element of the values, up to a container.
 _ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -82,6 +89,8 @@ def blocks(page: str) -> list[Block]:
     while at < size:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
+        if text and stack and stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not concealed:
             parts.append(text)
             if anchor:
@@ -101,10 +110,14 @@ def blocks(page: str) -> list[Block]:
             if depth is not None and (tag not in INLINE or all(t in INLINE for t, _, _ in stack[depth + 1 :])):
                 close(depth)
             continue
+        if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             parts.append(" ")
             continue
-        if tag not in INLINE:
+        if tag in _SPACED:
+            parts.append(" ")
+        if tag not in INLINE and not (tag in RAW and any(t == "svg" for t, _, _ in stack)):
             flush()
             if ends := _ENDS.get(tag):
                 for k in range(len(stack) - 1, -1, -1):

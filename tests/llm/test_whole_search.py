@@ -1,10 +1,11 @@
-"""Nearest neighbours of repeated ids."""
+"""Nearest neighbours of repeated ids, and text that odd markup surrounds."""
 
 from __future__ import annotations
 
 import numpy as np
+import pytest
 
-from mediastrata.llm import vptree
+from mediastrata.llm import html_extract, vptree
 
 
 def test_repeated_rows_of_an_id_leave_its_equals_in(spark):
@@ -25,3 +26,15 @@ def test_kept_rows_hold_the_nearest_of_every_id():
             for own in range(7):
                 whole, kept = (np.sort(i[(w[:, 0] == x) & (i != own)])[:5].tolist() for i, w in ((ids, v), (ids[keep], v[keep])))
                 assert whole == kept
+
+
+@pytest.mark.parametrize("start", ["<body>", "", "<p>"])
+def test_a_head_without_end_hides_no_body(start):
+    found = html_extract.blocks(f"<html><head><title>T</title><meta name=a><link rel=b>{start}Some text<p>More text</p></html>")
+    assert [b.text for b in found] == ["Some text", "More text"]
+
+
+def test_formulas_and_drawings_stay_in_their_sentence():
+    page = """<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding="TeX">x{=}2</annotation></semantics></math> hold, see
+    <svg viewBox="0 0 1 1"><title>t</title><style>p{}</style><defs><text>not drawn</text></defs><path d="M0"/><circle r="1"></circle><text>left</text><text>right</text></svg> for more.</p>"""
+    assert [b.text for b in html_extract.blocks(page)] == ["Let x=2 hold, see left right for more."]
