@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediastrata.sources.staging import written
+
 DEFAULT_TTP_NAME = "Trusted Third Party"
 
 
@@ -70,20 +72,24 @@ def work_id_tag(tags: Column, expected: str) -> Column:
 
 
 def ancestry(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(child, ancestor, depth) of chains of derivation: a recursive query, one join for each step up.
+    """(child, ancestor, depth) of chains of derivation: one row for each way up, whatever its length.
 
-    The depth is bounded by spark.sql.cteRecursionLevelLimit; a longer chain is an error, not a shorter answer.
+    Written tables that double the depth: paths of up to n steps, continued by those of exactly n. So neither cteRecursionLevelLimit nor
+    cteRecursionRowLimit of spark.sql bounds the answer. A work that is its own ancestor is an error.
     """
-    spark = edges.sparkSession
-    rows = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("parent"))
-    return spark.sql(
-        """WITH RECURSIVE up(child, ancestor, depth) AS (
-             SELECT child, parent, 1L FROM {rows}
-             UNION ALL
-             SELECT up.child, e.parent, up.depth + 1L FROM up JOIN {rows} e ON e.child = up.ancestor)
-           SELECT child, ancestor, depth FROM up""",
-        rows=rows,
-    )
+    rows = edges.where(F.col(parent).isNotNull()).select(F.col(child).alias("child"), F.col(parent).alias("ancestor"), F.lit(1).cast("bigint").alias("depth"))
+    found, steps = written(rows, "ancestry"), 1
+    every, longest = found, found
+    while True:
+        n, looped = found.agg(F.count("*"), F.max(F.col("child") == F.col("ancestor"))).first()
+        if looped:
+            raise ValueError("a work is its own ancestor")
+        if not n:
+            return every
+        further = longest.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("__next"))
+        found = written(every.join(further, "ancestor").select("child", F.col("__next").alias("ancestor"), (F.col("depth") + steps).alias("depth")), "ancestry")
+        every, steps = every.unionByName(found), 2 * steps
+        longest = found.where(F.col("depth") == steps)
 
 
 def chain_print(chain: DataFrame, keys: list[str], name: str, depth: str) -> DataFrame:

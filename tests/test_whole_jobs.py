@@ -6,7 +6,7 @@ import hashlib
 
 import pytest
 
-from mediastrata.operators import merkle
+from mediastrata.operators import merkle, policy
 from mediastrata.plans import registry
 
 
@@ -34,3 +34,20 @@ def test_every_chunk_of_every_text_is_read(spark, tmp_path):
     for k, text in texts.items():
         parts = sorted((r["chunk_index"], r["chunk"]) for r in found if r["doc_id"] == k)
         assert bytes.fromhex("".join(c for _, c in parts)) == text.encode()
+
+
+def test_ancestry_has_no_limit_of_levels_or_rows(spark):
+    n, limit = 150, "spark.sql.cteRecursionRowLimit"
+    edges = spark.createDataFrame([(i, i - 1) for i in range(1, n)] + [(0, None), (1000, 140), (1000, 3)], "child bigint, parent bigint")
+    spark.conf.set(limit, "100")
+    try:
+        got = sorted(tuple(r) for r in policy.ancestry(edges).collect())
+    finally:
+        spark.conf.unset(limit)
+    up = lambda child, first, d: [(child, a, d + first - a) for a in range(first, -1, -1)]
+    assert got == sorted([x for i in range(1, n) for x in up(i, i - 1, 1)] + up(1000, 140, 1) + up(1000, 3, 1))
+
+
+def test_ancestry_of_a_loop_is_an_error(spark):
+    with pytest.raises(ValueError, match="own ancestor"):
+        policy.ancestry(spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "child bigint, parent bigint"))
