@@ -697,3 +697,38 @@ def clipped_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = works.verify(clips, parts, _SIGNERS.ttp.public_key().hex()).select("work_id", "ok")
     streamed = verifier.verify_chunks(parts, clips).groupBy("work_id").agg(F.sum(F.col("valid").cast("bigint")).alias("n_streamed"), F.count("*").alias("n_chunks"))
     return verdict.join(streamed, "work_id")
+
+
+@_query(
+    """SELECT user_id::VARCHAR AS work_id, 'elementary' AS mode, sum(n)::BIGINT AS n_bytes, NULL::VARCHAR AS error,
+  sha256(unhex(string_agg(printf('FFF150%02X%02X%02XFC', 128 | (n >> 11), (n >> 3) & 255, ((n & 7) << 5) | 31) || hex(encode(props)), '' ORDER BY ts, event_id))) AS hash
+FROM (SELECT *, strlen(props) + 7 AS n FROM events) GROUP BY user_id"""
+)
+def audio_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every audio work is extracted whole: its chunks in order are the frames of its events."""
+    signed, chunks = _audio(spark, sf_dir)
+    return works.extract(signed, chunks, "mp4").select("work_id", "mode", F.octet_length("data").cast("bigint").alias("n_bytes"), "error", F.sha2("data", 256).alias("hash"))
+
+
+#: Kind, start and end in seconds, start and end chunk.
+_RANGES = (("time", 1.0, 1.5, None, None), ("index", None, None, 1, 3), ("open", 1.0, None, None, None))
+
+
+@_query(
+    """WITH n AS (SELECT user_id::VARCHAR AS work_id, count(*) AS frames FROM events GROUP BY user_id), c AS (SELECT work_id, (frames + 42) // 43 AS n FROM n),
+r AS (SELECT 'time-' || work_id AS work_id, least(1, n - 1) AS first_chunk, least(2, n) AS end_chunk FROM c
+  UNION ALL SELECT 'index-' || work_id, 1, least(3, n) FROM c WHERE n > 1 UNION ALL SELECT 'open-' || work_id, least(1, n - 1), n FROM c)
+SELECT work_id, first_chunk, end_chunk - first_chunk AS n_chunks, true AS ok, end_chunk - first_chunk AS n_streamed FROM r"""
+)
+def later_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips of every audio work that begin after its first chunk (43 frames of 23,219 microseconds), by times, by chunks, and from a time on."""
+    signed, chunks = _audio(spark, sf_dir)
+    asked = spark.createDataFrame(_RANGES, "kind string, start_time double, end_time double, start_chunk bigint, end_chunk bigint")
+    requests = chunks.select("work_id").distinct().crossJoin(F.broadcast(asked)).withColumn("request_id", F.concat_ws("-", "kind", "work_id"))  # broadcast: three rows
+    requests = requests.select("request_id", F.col("request_id").alias("derivative_id"), "work_id", F.lit(0).cast("bigint").alias("track_id"), "start_time", "end_time", "start_chunk", "end_chunk")
+    clips, parts = works.clip(signed, chunks, written(requests, "requests"), _SIGNERS)
+    clips, parts = written(clips, "clips"), written(parts, "clip-chunks")
+    verdict = works.verify(clips, parts, _SIGNERS.ttp.public_key().hex()).select("work_id", "ok")
+    streamed = verifier.verify_chunks(parts, clips).groupBy("work_id").agg(F.sum(F.col("valid").cast("bigint")).alias("n_streamed"), F.count("*").alias("n_chunks"))
+    first = parts.groupBy("work_id").agg(F.min("chunk_index").cast("bigint").alias("first_chunk"))
+    return verdict.join(streamed, "work_id").join(first, "work_id")
