@@ -7,14 +7,15 @@ white space), with one table lookup a byte; a piece is then split by the pattern
 forced pairs. Every fragment is encoded by itself, once: a bounded cache holds what a fragment gave.
 
 Defined cases: a null text counts as empty and gives no ids; special tokens' strings in a text become their ids,
-as the library does by default; repeated rows are each returned.
+as the library does by default; repeated rows are each returned; an empty table gives no rows; a text of any length
+is encoded whole, in time that grows with its length; columns in keep may have any names but those that are added, and
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mediastrata.llm.common import small_batches, table, text_list
+from mediastrata.llm.common import Transform, table, text_list, with_columns
 
 #: Fragments in a worker's cache; when full it starts anew.
 CACHE = 600_000
@@ -156,54 +157,49 @@ def _decimals(path: str) -> list[str]:
 
 def round_trips(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns in keep; n_tokens, ids_sha256 of the ids, and decoded_sha256 of the text that they decode to."""
-    small_batches(docs.sparkSession)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digester() -> Transform:
         c, decimal = codec(tokenizer), _decimals(tokenizer)
-        for batch in batches:
+
+        def digest(texts: pa.Array) -> list[pa.Array]:
             n, of_ids, of_text = [], [], []
-            for text in text_list(batch.column(0)):
+            for text in text_list(texts):
                 ids = c.encode(text)
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(",".join([decimal[i] for i in ids]).encode()).hexdigest())
                 of_text.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[*batch.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256"])
+            return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+
+        return digest
 
-    chosen = docs.select(F.col(text_col).alias("__text"), *(c.alias(name) for name, c in (keep or {}).items()))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    return chosen.mapInArrow(digest, ", ".join([*kept, "n_tokens bigint", "ids_sha256 string", "decoded_sha256 string"]))
+    return with_columns(docs, F.col(f"`{text_col}`"), keep or {}, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", digester)
 
 
 def encoded(docs: DataFrame, tokenizer: str, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns in keep, and the ids of every whole text."""
-    small_batches(docs.sparkSession)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoder() -> Transform:
         c = codec(tokenizer)
-        for batch in batches:
-            ids = [np.frombuffer(c.encode_bytes(t), dtype=ID).astype(np.int32) for t in text_list(batch.column(0))]
+
+        def encode(texts: pa.Array) -> list[pa.Array]:
+            ids = [np.frombuffer(c.encode_bytes(t), dtype=ID).astype(np.int32) for t in text_list(texts)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[*batch.schema.names[1:], "ids"])
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+
+        return encode
 
-    chosen = docs.select(F.col(text_col).alias("__text"), *(c.alias(name) for name, c in (keep or {}).items()))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    return chosen.mapInArrow(encode, ", ".join([*kept, "ids array<int>"]))
+    return with_columns(docs, F.col(f"`{text_col}`"), keep or {}, "ids array<int>", encoder)
 
 
 def decoded(rows: DataFrame, tokenizer: str, ids_col: str = "ids", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns in keep, and the text of every sequence of ids (null: empty)."""
-    small_batches(rows.sparkSession)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decoder() -> Transform:
         c = codec(tokenizer)
-        for batch in batches:
-            texts = [c.decode(ids or []) for ids in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "text"])
+        return lambda ids: [pa.array([c.decode(x or []) for x in ids.to_pylist()], pa.string())]
 
-    chosen = rows.select(F.col(ids_col).alias("__ids"), *(c.alias(name) for name, c in (keep or {}).items()))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    return chosen.mapInArrow(decode, ", ".join([*kept, "text string"]))
+    return with_columns(rows, F.col(f"`{ids_col}`"), keep or {}, "text string", decoder)
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,14 @@ article and other, with weights for label pairs, so that a block is judged with
 labelled pages (whose layouts labelled_pages() writes, with every block's label known), by gradient ascent on the
 conditional log likelihood, and decoded by Viterbi.
 
+A page is read once from front to end, in time that grows with its length, whatever it holds: a tag is matched at its place
+without giving anything back, and the open elements are looked up by name. Below an element with the attribute ``hidden``, with
+``aria-hidden`` true or with ``display: none`` in its style, nothing is read; attributes are told apart from their values.
+
 Defined cases: a null or empty page, and one without article, gives an empty text; markup that is cut off ends where it
-ends; unknown character references stay as they are; repeated rows are each returned.
+ends; unknown character references stay as they are, and those of no character are U+FFFD; a page of any length and depth is
+read whole; repeated rows are each returned; an empty table gives no rows; columns in keep may have any names but text and
+n_chars, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediastrata.llm.common import small_batches, table, text_list
+from mediastrata.llm.common import Transform, table, text_list, with_columns
 
 # HTML's elements without content, with raw content, and those that don't break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes".split())
+#: Raw content that is shown as it stands.
+SHOWN_RAW = frozenset("xmp listing".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp "
     # Formulas and drawings stand inside a sentence.
@@ -37,7 +45,7 @@ INLINE = frozenset(
 #: Inline, but a reader sees a gap before them.
 _SPACED = frozenset("mtd text".split())
 #: Raw content, controls, and parts of formulas and drawings that a reader never sees as text.
-HIDDEN = frozenset("script style template head title textarea select option button noscript iframe annotation annotation-xml defs symbol desc metadata object canvas audio video".split())
+HIDDEN = frozenset("script style template head title textarea select option noscript iframe annotation annotation-xml defs symbol desc metadata object canvas audio video".split())
 #: What can stand in a head; any other element, or text, ends it.
 _IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag of the key ends an open element of the values, up to a container.
@@ -45,100 +53,195 @@ _ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
     **dict.fromkeys("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split(), ("p",)),
 }
+#: The names that count as a block's ancestors, so that they are a bounded number.
+KNOWN = frozenset(
+    "html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption form fieldset legend blockquote pre address figure "
+    "figcaption details summary dialog menu hgroup hr center button xmp".split()
+)
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _CONTAINERS = frozenset("html body table ul ol dl div section article main aside nav header footer form".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z", re.S)
-_CLASS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_CONCEALED = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: A start tag at its place: its name, and its attributes as the standard tells them apart.
+_TAG = re.compile(r"""<([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
+_END_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_NONE = re.compile(r"display\s*+:\s*+none", re.I)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: Decimal and hexadecimal references of more digits than any character has.
+_TOO_LONG = re.compile(r"&#(?:0*+[0-9]{8,}+|[xX]0*+[0-9a-fA-F]{7,}+);?")
+_NAMED_BY = frozenset(("class", "id", "role"))
 
 
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
+    tag: str
     names: frozenset[str]
     link_chars: int = 0
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's leaf blocks that hold text, in page order."""
+class _Open:
+    """The open elements, with where each name stands, so that no lookup walks down the stack."""
+
+    def __init__(self) -> None:
+        #: (tag, block-level tags down to here, the innermost of them, class names down to here, whether it hides its content)
+        self.stack: list[tuple[str, frozenset[str], str, frozenset[str], bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.containers: list[int] = []
+        self.concealed = 0
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, names: frozenset[str], hides: bool) -> None:
+        _, tags, inner, above, _ = self.stack[-1] if self.stack else ("", frozenset(), "", frozenset(), False)
+        place = len(self.stack)
+        self.at.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+            inner = tag
+            if tag in KNOWN and tag not in tags:
+                tags = tags | {tag}
+        if tag in _CONTAINERS:
+            self.containers.append(place)
+        self.concealed += hides
+        self.stack.append((tag, tags, inner, above if names <= above else above | names, hides))
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            tag, _, _, _, hides = self.stack.pop()
+            place = len(self.stack)
+            self.at[tag].pop()
+            self.concealed -= hides
+            for places in (self.blocks, self.containers):
+                if places and places[-1] == place:
+                    places.pop()
+
+
+def _attributes(text: str, known: frozenset[str] | None) -> tuple[frozenset[str], bool]:
+    """The words of an element's class, id and role (of them those that are known), and whether it isn't shown."""
+    names, hides, seen = set(), False, set()
+    for m in _ATTRIBUTE.finditer(text):
+        name = m[1].lower()
+        if name in seen:  # of an attribute that stands twice, the first counts
+            continue
+        seen.add(name)
+        value = m[2] or m[3] or m[4] or ""
+        if name in _NAMED_BY:
+            names.update(_NAME.findall(value.lower()))
+        elif name == "hidden":
+            hides = True
+        elif name == "aria-hidden":
+            hides |= value.strip().lower() == "true"
+        elif name == "style":
+            hides |= _NONE.search(value) is not None
+    return frozenset(names if known is None else names & known), hides
+
+
+def unescape(text: str) -> str:
+    """Character references decoded."""
+    return html.unescape(_TOO_LONG.sub("\ufffd", text)) if "&" in text else text
+
+
+def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The page's leaf blocks that hold text, in page order. known: the class names that count (None: all)."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
-    parts: list[str] = []
-    link, concealed = 0, 0
-    anchor = 0
+    own, parts, link = _Open(), [], 0
+    stack, find, size, at = own.stack, page.find, len(page), 0
+    lower: str | None = None
+    unended: set[str] = set()
 
     def flush() -> None:
         nonlocal link
         if parts:
-            text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+            text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, tuple(t for t, _, _ in stack if t not in INLINE), frozenset().union(*(n for _, n, _ in stack)), link))
+                _, tags, inner, names, _ = stack[-1] if stack else ("", frozenset(), "", frozenset(), False)
+                out.append(Block(text, tags, inner, names, link))
             parts.clear()
         link = 0
 
-    def close(depth: int) -> None:
-        nonlocal concealed, anchor
-        while len(stack) > depth:
-            tag, _, hides = stack.pop()
-            concealed -= hides
-            anchor -= tag == "a"
-
-    at, size = 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text and stack and stack[-1][0] == "head" and text.strip():
-            close(len(stack) - 1)
-        if text and not concealed:
+    def add(text: str) -> None:
+        nonlocal link
+        if not own.concealed:
             parts.append(text)
-            if anchor:
+            if own.at.get("a"):
                 link += len(text)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+
+    while at < size:
+        lt = find("<", at)
+        if lt != at:
+            text = page[at:] if lt < 0 else page[at:lt]
+            if stack and stack[-1][0] == "head" and text.strip():
+                own.close(len(stack) - 1)
+            add(text)
+            if lt < 0:
+                break
+        following = page[lt + 1 : lt + 2]
+        if following == "!" or following == "?":
+            end = find("-->", lt + 2) if page.startswith("<!--", lt) and not page.startswith("<!-->", lt) else find(">", lt)
+            at = size if end < 0 else end + (1 if page[end] == ">" else 3)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+        if following == "/":
+            m = _END_NAME.match(page, lt + 2)
+            end = find(">", lt + 2)
+            at = size if end < 0 else end + 1
+            if not m or end < 0:
+                continue
+            tag = m[0].lower()
+            depth = own.last(tag)
             if tag not in INLINE:
                 flush()
             elif tag == "br":
-                parts.append(" ")
-            if depth is not None and (tag not in INLINE or all(t in INLINE for t, _, _ in stack[depth + 1 :])):
-                close(depth)
+                add(" ")
+            if depth >= 0 and (tag not in INLINE or not own.blocks or own.blocks[-1] < depth):
+                own.close(depth)
             continue
+        m = _TAG.match(page, lt)
+        if not m:
+            if following.isascii() and following.isalpha():  # a tag without end: nothing after it is shown
+                break
+            if stack and stack[-1][0] == "head":
+                own.close(len(stack) - 1)
+            add("<")
+            at = lt + 1
+            continue
+        at, tag, attributes = m.end(), m[1].lower(), m[2]
         if stack and stack[-1][0] == "head" and tag not in _IN_HEAD:
-            close(len(stack) - 1)
+            own.close(len(stack) - 1)
         if tag == "br":
-            parts.append(" ")
+            add(" ")
             continue
         if tag in _SPACED:
-            parts.append(" ")
-        if tag not in INLINE and not (tag in RAW and any(t == "svg" for t, _, _ in stack)):
+            add(" ")
+        if tag not in INLINE and not (tag in RAW and own.at.get("svg")):
             flush()
             if ends := _ENDS.get(tag):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        close(k)
-                        break
-                    if stack[k][0] in _CONTAINERS:
-                        break
-        if tag in VOID or m[3].endswith("/") and tag not in RAW:
+                depth = max(map(own.last, ends))
+                if depth >= 0 and (not own.containers or own.containers[-1] < depth):
+                    own.close(depth)
+        if tag in VOID or attributes.endswith("/") and tag not in RAW and tag not in SHOWN_RAW:
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if tag != "noscript" or end:
-                at = end.end() if end else size
+        if tag in RAW or tag in SHOWN_RAW:
+            if lower is None:
+                lower = page.translate(_LOWER)
+            end = -1 if tag in unended else lower.find(f"</{tag}", at)
+            if end < 0:
+                unended.add(tag)
+                if tag == "noscript":
+                    continue
+                end = size
+            if tag in SHOWN_RAW and not _attributes(attributes, known)[1]:
+                add(html.escape(page[at:end], quote=False))
+                flush()
+            end = find(">", end)
+            at = size if end < 0 else end + 1
             continue
-        attributes = m[3]
-        names = frozenset(n for c in _CLASS.findall(attributes) for n in _NAME.findall("".join(c).lower())) if "=" in attributes else frozenset()
-        hides = tag in HIDDEN or bool(attributes and _CONCEALED.search(attributes))
-        stack.append((tag, names, hides))
-        concealed += hides
-        anchor += tag == "a"
+        names, hides = _attributes(attributes, known) if attributes else (frozenset(), False)
+        own.push(tag, names, hides or tag in HIDDEN)
     flush()
     return out
 
@@ -150,8 +253,8 @@ def features(page: list[Block]) -> list[list[str]]:
     for k, b in enumerate(page):
         words = b.text.count(" ") + 1
         links = b.link_chars / max(1, len(b.text))
-        f = ["bias", f"tag={b.tags[-1] if b.tags else ''}", f"words={min(7, words.bit_length())}", f"links={0 if links < 0.05 else 1 if links < 0.5 else 2}"]
-        f += [f"in={t}" for t in set(b.tags)]
+        f = ["bias", f"tag={b.tag if b.tag in KNOWN else ''}", f"words={min(7, words.bit_length())}", f"links={0 if links < 0.05 else 1 if links < 0.5 else 2}"]
+        f += [f"in={t}" for t in b.tags]
         f += [f"named={x}" for x in b.names]
         f.append(f"stops={min(3, sum(map(b.text.count, '.!?')))}")
         if b.text[:1] == "©" or b.text[-1:] not in ".!?\"'”»…)":
@@ -161,6 +264,21 @@ def features(page: list[Block]) -> list[list[str]]:
     return out
 
 
+def marginals(s: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From blocks' scores and pairs' weights: each block's label probabilities, and the expected counts of label pairs, by forward and backward sums."""
+    n = len(s)
+    forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
+    forward[0] = s[0]
+    for t in range(1, n):
+        forward[t] = s[t] + np.logaddexp(forward[t - 1, 0] + pairs[0], forward[t - 1, 1] + pairs[1])
+    for t in range(n - 2, -1, -1):
+        x = backward[t + 1] + s[t + 1]
+        backward[t] = np.logaddexp(pairs[:, 0] + x[0], pairs[:, 1] + x[1])
+    total = np.logaddexp(*forward[-1])
+    both = np.exp(forward[:-1, :, None] + pairs + (backward[1:] + s[1:])[:, None, :] - total).sum(axis=0)
+    return np.exp(forward + backward - total), both
+
+
 @dataclass
 class Field:
     """The conditional random field; labels are 0 (other) and 1 (article)."""
@@ -169,6 +287,10 @@ class Field:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
     pairs: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
 
+    def named(self) -> frozenset[str]:
+        """The class names that the field has weights for."""
+        return frozenset(x[6:] for x in self.index if x.startswith("named="))
+
     def scores(self, page: list[list[str]]) -> np.ndarray:
         index, w = self.index, self.weights
         return np.array([w[[i for i in map(index.get, f) if i is not None]].sum(axis=0) for f in page])
@@ -209,22 +331,13 @@ class Field:
                 if not n:
                     continue
                 s = np.array([self.weights[i].sum(axis=0) for i in at])
-                forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-                forward[0] = s[0]
-                for t in range(1, n):
-                    forward[t] = s[t] + np.logaddexp(forward[t - 1, 0] + self.pairs[0], forward[t - 1, 1] + self.pairs[1])
-                for t in range(n - 2, -1, -1):
-                    x = backward[t + 1] + s[t + 1]
-                    backward[t] = np.logaddexp(self.pairs[:, 0] + x[0], self.pairs[:, 1] + x[1])
-                total = np.logaddexp(*forward[-1])
-                p = np.exp(forward + backward - total)
+                p, both = marginals(s, self.pairs)
                 gold = np.eye(2)[labels]
                 for t in range(n):
                     g = gold[t] - p[t] - decay * self.weights[at[t]]
                     seen_w[at[t]] += g**2
                     self.weights[at[t]] += rate * g / np.sqrt(seen_w[at[t]])
                 if n > 1:
-                    both = np.exp(forward[:-1, :, None] + self.pairs + (backward[1:] + s[1:])[:, None, :] - total).sum(axis=0)
                     real = np.zeros((2, 2))
                     np.add.at(real, (labels[:-1], labels[1:]), 1)
                     g = real - both
@@ -267,6 +380,8 @@ def labelled_pages(count: int = 240, seed: int = 11) -> Iterator[tuple[list[Bloc
         return r.choice([f'<section class="comments"><h2>{no(word())}</h2>{one}</section>', f'<div id="comments">{one}</div>', f'<ol class="comment-list">{one}</ol>'])
 
     def form() -> str:
+        if r.random() < 0.3:
+            return f"<button>{no(word())}</button>"
         return f'<form action="/s"><label>{no(word())}</label><input name="q"><p>{no(sentences(1))}</p></form>'
 
     for _ in range(count):
@@ -291,25 +406,24 @@ def train(pages: int = 240, seed: int = 11) -> Field:
 
 
 def main_text(page: str, model: Field) -> str:
-    found = blocks(page)
+    found = blocks(page, model.named())
     return "\n\n".join(b.text for b, label in zip(found, model.decode(features(found)), strict=True) if label)
 
 
 def extract(pages: DataFrame, model: Field, html_col: str = "html", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns in keep, and text and n_chars of every page."""
-    spark = pages.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # the names in the layouts above, whatever the input
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # the names in the layouts above, whatever the input
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extractor() -> Transform:
         m = shared.value
-        for batch in batches:
-            texts = [main_text(p, m) for p in text_list(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*batch.schema.names[1:], "text", "n_chars"])
 
-    chosen = pages.select(F.col(html_col).alias("__html"), *(c.alias(name) for name, c in (keep or {}).items()))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    return chosen.mapInArrow(run, ", ".join([*kept, "text string", "n_chars bigint"]))
+        def texts(values: pa.Array) -> list[pa.Array]:
+            found = [main_text(p, m) for p in text_list(values)]
+            return [pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())]
+
+        return texts
+
+    return with_columns(pages, F.col(f"`{html_col}`"), keep or {}, "text string, n_chars bigint", extractor)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ n-grams, a batch at a time, and multiplies that sparse batch with the matrix in
 
 Defined cases: a text that is null or has no letter gives ``und`` with score 0; so does every text where nothing
 could be learned; among equally likely languages the first by name wins; a null id counts as not held out and is
-never learned from; repeated rows are each returned.
+never learned from; repeated rows are each returned; an empty table gives no rows; a text of any length is one
+row of the sparse batch, in time and memory that grow with its length; columns in keep may have any names but
+lang_pred and score, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediastrata.llm.common import hash_bound, id_bucket, small_batches, table, text_list
+from mediastrata.llm.common import Transform, hash_bound, id_bucket, slices, table, text_list, with_columns
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -100,7 +102,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(lang, bucket, n) of a partition of training rows."""
     counts: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         langs, texts = batch.column(0).to_pylist(), text_list(batch.column(1))
         grams, starts, _ = hashed_ngrams(texts)
         ends = [*starts[1:], len(grams)]
@@ -141,25 +143,23 @@ def train(rows: DataFrame, text_col: str, lang_col: str, sample_by: str, max_row
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """The columns in keep, and lang_pred and score of every whole text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # (BUCKETS + 1) x languages floats, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + 1) x languages floats, whatever the input
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer() -> Transform:
         m = shared.value
-        for batch in batches:
-            lang, p = m.predict(text_list(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang, pa.string()), pa.array(p, pa.float64())], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
-    chosen = docs.select(F.col(text_col).alias("__text"), *(c.alias(name) for name, c in (keep or {}).items()))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    return chosen.mapInArrow(score, ", ".join([*kept, "lang_pred string", "score double"]))
+        def score(texts: pa.Array) -> list[pa.Array]:
+            lang, p = m.predict(text_list(texts))
+            return [pa.array(lang, pa.string()), pa.array(p, pa.float64())]
+
+        return score
+
+    return with_columns(docs, F.col(f"`{text_col}`"), keep or {}, "lang_pred string, score double", scorer)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; rows with crc32(doc_id) mod 4 = 2 are never learned from."""
     docs = table(spark, sf_dir, "documents")
-    small_batches(spark)
     held_out = F.coalesce(id_bucket("doc_id", 4) == 2, F.lit(False))
     model = train(docs.where(~held_out), "text", "lang", "doc_id")
     return identify(docs, model, "text", {"doc_id": F.col("doc_id"), "held_out": held_out})

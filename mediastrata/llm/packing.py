@@ -10,7 +10,8 @@ inside a (class, bucket) and the counts of the class's earlier buckets, so a cla
 spread over as many tasks as it has buckets.
 
 Defined cases: a null text counts as empty; every document has its end id, so an empty one is a piece of one token;
-pieces that are alike in everything take each other's places; an empty table gives no rows; other columns are ignored.
+pieces that are alike in everything take each other's places; an empty table gives no rows; a text of any length is cut
+into full sequences and a rest; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mediastrata.llm.common import materialize, small_batches, table, text_list
+from mediastrata.llm.common import materialize, slices, table, text_list
 from mediastrata.llm.tokens import ID, encoder
 
 CAPACITY = 4096
@@ -136,12 +137,11 @@ def patterns(histogram: dict[int, int], bounds: tuple[int, ...], capacity: int =
 
 
 def _pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
-    small_batches(docs.sparkSession)
     bounds = np.array(class_bounds(capacity))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, end = encoder(tokenizer), np.array([end_id], dtype=ID).tobytes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows, ids_of = [], []
             for doc, ids in zip(batch.column(0).to_pylist(), e.encode_batch(text_list(batch.column(1))), strict=True):
                 ids += end

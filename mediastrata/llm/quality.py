@@ -8,8 +8,8 @@ Only DataFrame expressions are used. Arrays live inside one row, and a host's ro
 so a host with a third of all documents costs no more than its share.
 
 Defined cases: a null or blank text has no words and fails the rules; a null host is the host ''; repeated
-rows count as often as they occur and are each returned; an empty table gives no rows; other columns of the
-input, whatever their names, pass through ``with_verdict`` untouched.
+rows count as often as they occur and are each returned; an empty table gives no rows; a text of any length is measured
+whole; other columns, whatever their names, pass through the filter untouched, and quality_rules ignores them.
 """
 
 from __future__ import annotations
@@ -17,16 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediastrata.llm.common import materialize, table
+from mediastrata.llm.common import materialize, table, whole_row
 
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_HOST_RATE = 0.5
-#: A host's rows meet its verdict in so many places.
-HOST_SALTS = 32
-#: More bad hosts than this aren't broadcast.
-BROADCAST_HOSTS = 100_000
+#: More bad hosts than this aren't broadcast, but for those with so large a share of all documents, of which there can't be many.
+BROADCAST_HOSTS, HOT_SHARE = 100_000, 1e-4
 #: Documents' worth of prior where the hosts' rates don't differ, so that the moments give none.
 FLAT_STRENGTH = 10.0
 
@@ -75,14 +73,6 @@ def fails(text: str) -> Column:
     return F.expr(_let(sql, "m", f"m.n_words < {MIN_WORDS} or 100 * m.n_repeat_words > {MAX_REPEAT_PERCENT} * m.n_words"))
 
 
-def measured(docs: DataFrame, text_col: str = "text", as_col: str = "__quality") -> DataFrame:
-    """docs with the struct of measures and base_failed in one more column."""
-    m = docs.withColumn(as_col, measures(f"`{text_col}`"))
-    q = F.col(as_col)
-    failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    return m.withColumn(as_col, q.withField("base_failed", failed))
-
-
 def host_rates(rows: DataFrame, host: Column, failed: Column, weight: Column | None = None) -> DataFrame:
     """One row per host: n_docs, n_failed, and shrunk_rate = (n_failed + strength * mean) / (n_docs + strength).
 
@@ -100,36 +90,46 @@ def host_rates(rows: DataFrame, host: Column, failed: Column, weight: Column | N
     return hosts.withColumn("shrunk_rate", shrunk)
 
 
-def bad_hosts(rows: DataFrame, host: Column, failed: Column, weight: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Column __bad_host: the hosts whose shrunk failure rate is above max_host_rate, as a written table."""
+def host_verdicts(rows: DataFrame, host: Column, failed: Column, weight: Column | None = None, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """(host, n_docs, bad) of each host, as a written table; bad: its shrunk failure rate is above max_host_rate."""
     rates = host_rates(rows, host, failed, weight)
-    return materialize(rates.where(F.col("shrunk_rate") > max_host_rate).select(F.col("host").alias("__bad_host")), "bad-hosts")
+    return materialize(rates.select("host", "n_docs", (F.col("shrunk_rate") > max_host_rate).alias("bad")), "hosts")
 
 
-def with_verdict(rows: DataFrame, host: Column, failed: Column, bad: DataFrame) -> DataFrame:
-    """rows with column __kept: not failed, and not of a bad host.
+def with_verdict(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """rows (host, failed, ...) with column kept: not failed, and not of a bad host.
 
-    Up to BROADCAST_HOSTS bad hosts are broadcast, so that rows stay where they are. More meet the rows in a join, where each stands
-    HOST_SALTS times, so that a hot host's rows spread over as many tasks.
+    Up to BROADCAST_HOSTS bad hosts are broadcast, so that rows stay where they are. Of more, those that hold a HOT_SHARE of all documents
+    or more still are (1 / HOT_SHARE at most); the others meet their rows in a join, in which rows of hot hosts, which match nothing there,
+    are dealt out by what they hold and where they stood.
     """
+    bad = hosts.where("bad")
     if bad.count() <= BROADCAST_HOSTS:
-        joined = rows.join(F.broadcast(bad), host == F.col("__bad_host"), "left")
-    else:
-        bad = bad.withColumn("__bad_salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
-        salt = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(HOST_SALTS))
-        joined = rows.withColumn("__salt", salt).join(bad, (host == F.col("__bad_host")) & (F.col("__salt") == F.col("__bad_salt")), "left").drop("__salt", "__bad_salt")
-    return joined.withColumn("__kept", ~failed & F.col("__bad_host").isNull()).drop("__bad_host")
+        found = F.broadcast(bad.select(F.col("host").alias("its"), F.lit(True).alias("is_bad")))  # broadcast: counted above
+        joined = rows.join(found, F.col("host") == F.col("its"), "left")
+        return joined.withColumn("kept", ~F.col("failed") & F.col("is_bad").isNull()).drop("its", "is_bad")
+    total = hosts.agg(F.sum("n_docs")).first()[0]
+    hot = hosts.where(F.col("n_docs") >= HOT_SHARE * total).select(F.col("host").alias("hot"), F.col("bad").alias("hot_bad"))
+    rows = rows.join(F.broadcast(hot), F.col("host") == F.col("hot"), "left")  # broadcast: 1 / HOT_SHARE hosts at most
+    own = F.xxhash64(F.spark_partition_id(), *[c for c, t in rows.dtypes if "map<" not in t])
+    rows = rows.withColumn("salt", F.when(F.col("hot").isNotNull(), own.bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
+    rest = bad.join(hot.select(F.col("hot").alias("host")), "host", "left_anti").select(F.col("host").alias("its"), F.lit(0).cast("bigint").alias("its_salt"))
+    joined = rows.join(rest, (F.col("host") == F.col("its")) & (F.col("salt") == F.col("its_salt")), "left")
+    is_bad = F.coalesce("hot_bad", F.col("its").isNotNull())
+    return joined.withColumn("kept", ~F.col("failed") & ~is_bad).drop("its", "its_salt", "salt", "hot", "hot_bad")
+
+
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.col(f"`{host_col}`").cast("string"), F.lit(""))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: its id, the measures, base_failed and kept."""
-    rows = measured(docs.select(id_col, text_col, host_col), text_col).select(
-        F.col(id_col), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), "__quality.*"
-    )
-    rows = materialize(rows, "quality")
-    host, failed = F.col("__host"), F.col("base_failed")
-    out = with_verdict(rows, host, failed, bad_hosts(rows, host, failed))
-    return out.withColumn("kept", F.col("__kept")).drop("__host", "__kept")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), _host(host_col).alias("host"), measures(f"`{text_col}`").alias("m"))
+    failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
+    rows = materialize(rows.withColumn("failed", failed), "quality")
+    out = with_verdict(rows, host_verdicts(rows, F.col("host"), F.col("failed")))
+    return out.select(F.col("id").alias(id_col), "m.*", F.col("failed").alias("base_failed"), "kept")
 
 
 def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -137,11 +137,10 @@ def filter_documents(docs: DataFrame, text_col: str = "text", host_col: str = "s
 
     The texts are measured twice, once for the hosts' rates and once where they are kept, rather than written in between.
     """
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("__failed", fails(f"`{text_col}`"))
-    counts = materialize(rows.select(host.alias("__host"), "__failed").groupBy("__host", "__failed").agg(F.count("*").alias("n")), "host-counts")
-    bad = bad_hosts(counts, F.col("__host"), F.col("__failed"), F.col("n"))
-    return with_verdict(rows, host, F.col("__failed"), bad).where("__kept").select(docs.columns)
+    rows = docs.select(_host(host_col).alias("host"), fails(f"`{text_col}`").alias("failed"), whole_row(docs).alias("row"))
+    counts = materialize(rows.groupBy("host", "failed").agg(F.count("*").alias("n")), "host-counts")
+    hosts = host_verdicts(counts, F.col("host"), F.col("failed"), F.col("n"))
+    return with_verdict(rows, hosts).where("kept").select("row.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ each fingerprint is replicated to the 17 anchors (2 if it is one) within 2 of ei
 per anchor, homes with all. That finds every link.
 
 Equal fingerprints are one row before anything is compared. An anchor gives a spanning forest of its links, never all
-pairs, and homes of a crowded anchor are dealt out over several tasks. Components come from alternating star
-contractions on tables in the shared folder; nothing that grows with the input reaches the driver.
+pairs. Homes of a crowded anchor are dealt out over several tasks; each holds its share of the homes, and the other
+fingerprints stream past them. Components come from alternating star contractions on tables in the shared folder;
+nothing that grows with the input reaches the driver.
 
 Defined cases: a text that is null or has no word has fingerprint zero, which links like any other; repeated ids are
 separate documents that happen to have the same id; null ids never name a component unless all its ids are null;
-an empty table gives no rows; other columns pass through the filter.
+an empty table gives no rows; a text of any length is hashed whole; other columns pass through the filter, whatever
+their names; of documents that share the least id of a component, the filter keeps one.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediastrata.llm.common import materialize, small_batches, table, text_list
+from mediastrata.llm.common import Transform, drop, materialize, materialized, table, text_list, whole_row, with_columns
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 #: Homes of one anchor that one task compares.
 CROWD = 4096
+#: Rows that a task compares at a time.
+HELD = 50_000
 _CHUNK = 1 << 16
 
 
@@ -48,17 +52,13 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprinted(docs: DataFrame, text_col: str, keep: dict[str, Column], as_col: str = "fp") -> DataFrame:
-    """The columns in keep and every whole text's fingerprint."""
-    small_batches(docs.sparkSession)
+def fingerprinted(docs: DataFrame, text_col: str, keep: dict[str, Column]) -> DataFrame:
+    """The columns in keep, and every whole text's fingerprint as fp."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([fingerprint(t) for t in text_list(batch.column(0))], pa.int64())], names=[*batch.schema.names[1:], as_col])
+    def hasher() -> Transform:
+        return lambda texts: [pa.array([fingerprint(t) for t in text_list(texts)], pa.int64())]
 
-    chosen = docs.select(F.col(text_col).alias("__text"), *(c.alias(name) for name, c in keep.items()))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    return chosen.mapInArrow(run, ", ".join([*kept, f"`{as_col}` bigint"]))
+    return with_columns(docs, F.col(f"`{text_col}`"), keep, "fp bigint", hasher)
 
 
 def syndromes(x: np.ndarray) -> np.ndarray:
@@ -110,56 +110,65 @@ def forest(fps: np.ndarray, homes: np.ndarray, distance: int = DISTANCE) -> list
     return out
 
 
+def _groups(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole groups of equal keys, one after the other."""
+    starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]))
+    size = np.diff(starts)
+    group = np.repeat(np.arange(len(size)), size)
+    left, right, words = [], [], fp.view(np.uint64)
+    small = size[group] <= 8
+    for k in range(1, min(8, len(fp))):
+        at = np.flatnonzero((group[k:] == group[:-k]) & small[k:] & (home[k:] | home[:-k]))
+        at = at[np.bitwise_count(words[at] ^ words[at + k]) <= DISTANCE]
+        left.append(fp[at])
+        right.append(fp[at + k])
+    pairs = [p for g in np.flatnonzero(size > 8) for p in forest(fp[starts[g] : starts[g + 1]], home[starts[g] : starts[g + 1]])]
+    if pairs:
+        a, b = np.array(pairs, dtype=np.int64).T
+        left.append(a)
+        right.append(b)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a partition whose rows (anchor, salt, fp, home) are sorted by anchor and salt, one group after the other."""
-
-    def groups(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(key)]))
-        size = np.diff(starts)
-        group = np.repeat(np.arange(len(size)), size)
-        left, right, words = [], [], fp.view(np.uint64)
-        small = size[group] <= 8
-        for k in range(1, min(8, len(fp))):
-            at = np.flatnonzero((group[k:] == group[:-k]) & small[k:] & (home[k:] | home[:-k]))
-            at = at[np.bitwise_count(words[at] ^ words[at + k]) <= DISTANCE]
-            left.append(fp[at])
-            right.append(fp[at + k])
-        pairs = [p for g in np.flatnonzero(size > 8) for p in forest(fp[starts[g] : starts[g + 1]], home[starts[g] : starts[g + 1]])]
-        if pairs:
-            a, b = np.array(pairs, dtype=np.int64).T
-            left.append(a)
-            right.append(b)
-        return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+    """Links of a partition whose rows (anchor, salt, fp, home) are sorted by anchor and salt, a group's homes first.
+
+    At most HELD rows and one group's homes are held at a time: the rest of a group that is larger streams past its homes.
+    """
 
     def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         anchor, salt, fp, home = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         return np.stack([anchor, salt.astype(np.int64)], axis=1), fp, home
 
     def emit(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-        a, b = groups(key, fp, home)
+        a, b = _groups(key, fp, home)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # whole batches' worth, up to the last group that began
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(columns(batch))
         rows += batch.num_rows
-        if rows < 50_000 or (held[-1][0][0] == held[-1][0][-1]).all():
+        if rows < HELD:
             continue
         key, fp, home = (np.concatenate(x) for x in zip(*held, strict=True))
-        cut = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1
-        yield emit(key[:cut], fp[:cut], home[:cut])
-        held, rows = [(key[cut:], fp[cut:], home[cut:])], len(key) - cut
+        whole = np.flatnonzero((key != key[-1]).any(axis=1))  # rows of groups that have ended
+        cut = int(whole[-1]) + 1 if len(whole) else 0
+        if cut:
+            yield emit(key[:cut], fp[:cut], home[:cut])
+            key, fp, home = key[cut:], fp[cut:], home[cut:]
+        if len(key) >= HELD and 2 * home.sum() <= len(key):  # the open group: what has come of it meets its homes, which stay
+            yield emit(key, fp, home)
+            key, fp, home = key[home], fp[home], home[home]
+        held, rows = [(key, fp, home)], len(key)
     if held:
         yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: links between the distinct fingerprints (column fp) that connect all that are within DISTANCE, each once."""
-    spark = distinct.sparkSession
-    small_batches(spark, 10_000)
     replicas = distinct.select("fp").mapInArrow(_replicas, "anchor bigint, fp bigint, home boolean")
     homes = replicas.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
     crowded = materialize(homes.select("anchor", F.ceil(F.col("n") / crowd).cast("int").alias("salts")), "crowded")
@@ -169,13 +178,13 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
         known = replicas.join(crowded, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
         dealt = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("home", F.col("home") & (F.col("salt") == own)).select("anchor", "fp", "home", "salt")
-    dealt = dealt.select("anchor", "salt", "fp", "home").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
+    dealt = dealt.select("anchor", "salt", "fp", "home").repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
     return dealt.mapInArrow(_links, "a bigint, b bigint").where("a <> b").dropDuplicates(["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) for each end of an edge: root is its component's smallest fingerprint. Alternating large and small stars."""
-    edges = materialize(edges.select("a", "b"), "links")
+    edges, path = materialized(edges.select("a", "b"), "links")
 
     def large_star(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -189,7 +198,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     mark = None
     while True:
-        edges = materialize(small_star(large_star(edges)), "stars")
+        before = path
+        edges, path = materialized(small_star(large_star(edges)), "stars")
+        drop(edges.sparkSession, before)
         found = edges.agg(F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("sa"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(found) == mark:
             return edges.select(F.col("b").alias("fp"), F.col("a").alias("root"))
@@ -197,27 +208,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(fp, root, component_id) for each fingerprint of a written table (id, fp); component_id is the smallest id."""
+    """(fp, least, root, component_id) for each fingerprint of a written table (id, fp); least is its smallest id, component_id the component's."""
     distinct = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("id")), "fingerprints")
     roots = components(links(distinct))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = roots.join(distinct, "fp").select("root", "id").union(roots.select("root").distinct().join(distinct, F.col("root") == F.col("fp")).select("root", "id"))
     least = linked.groupBy("root").agg(F.min("id").alias("component"))
-    return rooted.join(least, "root", "left").select("fp", "root", F.coalesce("component", "id").alias("component_id"))
+    return rooted.join(least, "root", "left").select("fp", F.col("id").alias("least"), "root", F.coalesce("component", "id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, fingerprint (hex) and component_id."""
-    rows = materialize(fingerprinted(docs, text_col, {id_col: F.col(id_col)}), "fingerprinted")
-    return rows.join(classes(rows, id_col), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = materialize(fingerprinted(docs, text_col, {"id": F.col(f"`{id_col}`")}), "fingerprinted")
+    found = rows.join(classes(rows, "id").select("fp", "component_id"), "fp")
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with the columns of docs: that of the smallest id."""
-    rows = materialize(fingerprinted(docs, text_col, {c: F.col(f"`{c}`") for c in docs.columns}, "__fp"), "fingerprinted")
-    found = classes(rows.select(id_col, F.col("__fp").alias("fp")), id_col).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__component"))
-    first = rows.join(found, "__fp").where(F.col(id_col).eqNullSafe(F.col("__component")))  # one row each, unless an id is repeated
-    return first.dropDuplicates(["__root"]).select(docs.columns)
+    rows = materialize(fingerprinted(docs, text_col, {"id": F.col(f"`{id_col}`"), "row": whole_row(docs)}), "fingerprinted")
+    least = classes(rows, "id").where(F.col("least").eqNullSafe(F.col("component_id")))
+    first = least.groupBy("root").agg(F.min(F.struct("fp", "least")).alias("k")).select("root", F.col("k.fp").alias("own"), "k.least")
+    # By fingerprint and id, of which no pair is common, rather than by fingerprint, which a third of all documents may share.
+    kept = rows.join(first, (F.col("fp") == F.col("own")) & F.col("id").eqNullSafe(F.col("least")))
+    return kept.select("root", "row").dropDuplicates(["root"]).select("row.*")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

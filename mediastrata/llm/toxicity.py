@@ -7,7 +7,8 @@ by one map over the input, without a shuffle.
 Defined cases: a null text counts as empty; an empty text gets the score of its (zero) features; without labelled
 rows, or with labels of one kind only, every score is the share of toxic labels (0 where there are none); several
 labels of one document count as toxic if any does; null labels and null ids are not learned from; repeated rows
-are each returned.
+are each returned; an empty table gives no rows; a text of any length is scored whole, in time that grows with its
+length; the filter passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediastrata.llm.common import hash_bound, id_bucket, materialize, small_batches, table, text_list
+from mediastrata.llm.common import Transform, hash_bound, id_bucket, materialize, slices, table, text_list, whole_row, with_columns
 
 #: The classifier learns from about this many labelled rows: those whose ids have the smallest hashes.
 TRAINING_ROWS = 12_000
@@ -45,7 +46,8 @@ LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 
 _WORDS = re.compile(r"[^\W\d_]+")
 #: A letter, then digits or symbols, then a letter, in one run without blanks.
-_MIXED = re.compile(r"[^\W\d_]+(?:[0-9@$!|*._-]+[^\W\d_]+)+|[0-9@$!|]+[^\W\d_]+", re.UNICODE)
+#: Each run is read once: matches begin where a run of letters or of marks does, and nothing is given back.
+_MIXED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!|*._-]++[^\W\d_]++)++|(?<![0-9@$!|])[0-9@$!|]++[^\W\d_]++")
 _RUNS = re.compile(r"([^\W\d_])\1\1")
 _SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 FEATURES = (
@@ -131,6 +133,16 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array([m for b in blocks for m in b[2:]]), np.array([b[0] / b[1] for b in blocks for _ in range(2)])
 
 
+def _near(hits: list[int], second: list[int]) -> int:
+    """How many of the hits have one of second (both are ascending) within NEAR places."""
+    if not hits or not second:
+        return 0
+    at = np.array(hits)
+    after = np.searchsorted(second, at)
+    places = np.concatenate(([-NEAR - 1], second, [at[-1] + NEAR + 1]))
+    return int(((at - places[after] <= NEAR) | (places[after + 1] - at <= NEAR)).sum())
+
+
 @dataclass
 class Model:
     words: dict[str, float] = field(default_factory=dict)
@@ -148,7 +160,7 @@ class Model:
         starts = [w[:PREFIX] for w in words]
         begun = [s for s in starts if s in prefixes]
         second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-        near = sum(any(abs(i - j) <= NEAR for j in second) for i in hits) if hits and second else 0
+        near = _near(hits, second)
         mixed = _MIXED.findall(text)
         hidden = 0
         for m in mixed:
@@ -181,7 +193,7 @@ def _text_terms(text: str) -> tuple[int, set[str]]:
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic, n) over a partition's texts."""
     counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         for toxic, text in zip(batch.column(0).to_pylist(), text_list(batch.column(1)), strict=True):
             counts[toxic > 0].update(_text_terms(text)[1])
     for toxic in (0, 1):
@@ -189,19 +201,16 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic] * len(terms), pa.int32()), pa.array([counts[toxic][t] for t in terms], pa.int64())], names=["term", "toxic", "n"])
 
 
-def _with_min_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hashes = [_text_terms(t)[0] for t in text_list(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.int64())], names=["toxic", "text", "h"])
+def _min_hashes() -> Transform:
+    return lambda texts: [pa.array([_text_terms(t)[0] for t in text_list(texts)], pa.int64())]
 
 
-def train(rows: DataFrame, max_rows: int = TRAINING_ROWS) -> Model:
+def train(rows: DataFrame) -> Model:
     """Fits on rows (doc_id, text, toxic); rows are a bounded sample already, see sample()."""
-    spark = rows.sparkSession
-    small_batches(spark)
-    rows = materialize(rows.select(F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_with_min_hash, "toxic int, text string, h bigint"), "toxicity-sample")
+    kept = {"toxic": F.col("toxic").cast("int"), "text": F.coalesce("text", F.lit(""))}
+    rows = materialize(with_columns(rows, F.col("text"), kept, "h bigint", _min_hashes), "toxicity-sample")
     # Near copies would make every one of their words a mark of their label: for the lexicon, texts with the same min-hash count once.
-    once = rows.groupBy("h", "toxic").agg(F.first("text").alias("text")).select("toxic", "text")
+    once = rows.groupBy("h", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     totals = {r["toxic"]: r["n"] for r in once.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     positive, negative = totals.get(1, 0), totals.get(0, 0)
     if not positive or not negative:
@@ -212,12 +221,10 @@ def train(rows: DataFrame, max_rows: int = TRAINING_ROWS) -> Model:
     lexicon = terms.where(F.col("p") >= least).select("term", weight.alias("w")).where(F.col("w") >= LEXICON_LOG_ODDS).orderBy(F.desc("w"), "term").limit(LEXICON_SIZE).collect()
     model = Model(words={r["term"]: r["w"] for r in lexicon if r["term"][0] != "^"}, prefixes={r["term"][1:]: r["w"] for r in lexicon if r["term"][0] == "^"})
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [model.features(t) for t in text_list(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["toxic", "x", "h"])
+    def features() -> Transform:
+        return lambda texts: [pa.array([model.features(t) for t in text_list(texts)], pa.list_(pa.float64()))]
 
-    found = rows.mapInArrow(features, "toxic int, x array<double>, h bigint").toArrow()  # max_rows rows of numbers
+    found = with_columns(rows, F.col("text"), {"toxic": F.col("toxic"), "h": F.col("h")}, "x array<double>", features).toArrow()  # a sample's rows of numbers
     order = np.lexsort((found["toxic"].to_numpy(), found["h"].to_numpy()))
     x = np.array(found["x"].to_pylist())[order]
     y = (found["toxic"].to_numpy()[order] > 0).astype(float)
@@ -231,27 +238,30 @@ def train(rows: DataFrame, max_rows: int = TRAINING_ROWS) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = TRAINING_ROWS) -> DataFrame:
-    """About max_rows labelled rows (doc_id, text, toxic), by the smallest hashes of their ids."""
+    """About max_rows labelled rows (doc_id, text, toxic), by the smallest hashes of their ids; of an id's texts each counts once.
+
+    Where ids stand before many different texts, a second choice by the texts' hashes bounds the rows themselves.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     bound = hash_bound(known, "doc_id", max_rows)
     chosen = known.where(F.xxhash64(F.col("doc_id").cast("string")) <= F.lit(bound if bound is not None else -(2**63)))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # broadcast: max_rows pairs of numbers
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # broadcast: max_rows pairs of numbers
+    once = found.withColumn("own", F.xxhash64("doc_id", "text")).groupBy("doc_id", "own").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
+    rows = materialize(once, "toxicity-labelled")
+    if rows.count() <= 2 * max_rows:
+        return rows.drop("own")
+    return rows.where(F.xxhash64(F.col("own").cast("string")) <= F.lit(hash_bound(rows, "own", max_rows))).drop("own")
 
 
-def scored(docs: DataFrame, model: Model, text_col: str, keep: dict[str, Column], score_col: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: Model, text_col: str, keep: dict[str, Column]) -> DataFrame:
     """The columns in keep and the score of every whole text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # LEXICON_SIZE entries and 60 small trees
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # LEXICON_SIZE entries and 60 small trees
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scorer() -> Transform:
         m = shared.value
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(m.score(text_list(batch.column(0))), pa.float64())], names=[*batch.schema.names[1:], score_col])
+        return lambda texts: [pa.array(m.score(text_list(texts)), pa.float64())]
 
-    chosen = docs.select(F.col(text_col).alias("__text"), *(c.alias(name) for name, c in keep.items()))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
-    return chosen.mapInArrow(score, ", ".join([*kept, f"`{score_col}` double"]))
+    return with_columns(docs, F.col(f"`{text_col}`"), keep, "score double", scorer)
 
 
 def fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
@@ -261,8 +271,8 @@ def fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below the threshold, with the columns of docs."""
-    out = scored(docs, model, "text", {c: F.col(f"`{c}`") for c in docs.columns}, "__toxicity")
-    return out.where(F.col("__toxicity") < threshold).select(docs.columns)
+    out = scored(docs, model, "text", {"row": whole_row(docs)})
+    return out.where(F.col("score") < threshold).select("row.*")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,20 +117,59 @@ def test_program_reaches_the_bound():
     assert used <= 1.01 * sum(bounds[c] * n for c, n in histogram.items()) / packing.CAPACITY
 
 
-def test_token_files(spark, odd, empty, tmp_path):
-    index = tokenfile.write_token_files(odd, str(tmp_path / "t"), BYTES, 50255).cache()
-    rows = tokenfile.read_all(spark, str(tmp_path / "t/shards")).join(tokenfile.starts(index), ["shard", "ordinal"]).orderBy("shard", "ordinal").collect()
-    want = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
+def _check_files(spark, docs, path, **options):
+    """Writes the documents, and holds what is read back, all of it and by shuffled rows of the index, against the library."""
+    index = tokenfile.write_token_files(docs, path, BYTES, 50255).cache()
+    rows = tokenfile.with_start(tokenfile.read_all(spark, f"{path}/shards"), index).orderBy("start").collect()
+    want = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
     assert [r["doc_id"] for r in rows] == [d for d, _ in want]
+    texts = {}
+    for d, t in want:
+        texts.setdefault(d, []).append([*_ids(BYTES, t), 50255])
     start = 0
-    for r, (_, text) in zip(rows, want, strict=True):
-        assert r["ids"] == [*_ids(BYTES, text), 50255] and r["start"] == start
+    for r in rows:
+        assert r["ids"] in texts[r["doc_id"]] and r["start"] == start
+        texts[r["doc_id"]].remove(r["ids"])
         start += len(r["ids"])
-    some = tokenfile.read_frames(spark, str(tmp_path / "t/shards"), index.orderBy(F.rand(1)).limit(4)).collect()
-    assert len(some) == 4 and all(r["ids"] in [x["ids"] for x in rows] for r in some)
-    digests = tokenfile.read_all(spark, str(tmp_path / "t/shards"), digest=True).collect()
+    every = {(r["shard"], r["ordinal"]): r["ids"] for r in rows}
+    assert len(every) == len(rows) == index.count()
+    shuffled = tokenfile.read_frames(f"{path}/shards", index.repartition(3, F.rand(1))).collect()
+    assert {(r["shard"], r["ordinal"]): r["ids"] for r in shuffled} == every
+    digests = tokenfile.read_all(spark, f"{path}/shards", digest=True).collect()
     assert sorted(r["ids_crc32"] for r in digests) == sorted(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in rows)
+    return index
+
+
+def test_token_files(spark, odd, empty, tmp_path):
+    _check_files(spark, odd, str(tmp_path / "t"))
     assert tokenfile.write_token_files(empty, str(tmp_path / "e"), BYTES, 2).count() == 0
+    assert tokenfile.read_all(spark, str(tmp_path / "e/shards")).count() == 0
+
+
+def test_token_files_of_many_files_for_a_task(spark, tmp_path):
+    """The writer's limit of records, and the module's of bytes, make several files of one task; both are read back in order."""
+    docs = spark.createDataFrame([(k // 2, f"text {k} " * (k % 7)) for k in range(400)], "doc_id long, text string")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "30")
+    sizes = tokenfile.ROLL_BYTES
+    try:
+        one = _check_files(spark, docs, str(tmp_path / "records"))
+        tokenfile.ROLL_BYTES = 2000
+        two = _check_files(spark, docs, f"file://{tmp_path}/bytes")
+    finally:
+        tokenfile.ROLL_BYTES = sizes
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert one.select("file").distinct().count() > 10 < two.select("file").distinct().count()
+
+
+def test_a_repeated_id_is_dealt_out(spark, tmp_path):
+    docs = spark.createDataFrame([(7, f"text {k % 5}") for k in range(300)], "doc_id long, text string").repartition(6)
+    sizes = tokenfile.SHARD_BYTES
+    tokenfile.SHARD_BYTES = 500
+    try:
+        index = _check_files(spark, docs, str(tmp_path / "r"))
+    finally:
+        tokenfile.SHARD_BYTES = sizes
+    assert index.select("shard").distinct().count() > 3
 
 
 def test_damaged_frames():
