@@ -1,19 +1,25 @@
-"""License scans (native): MinHash bands over overlapping windows, verified by exact shingle containment.
+"""License scans (native): MinHash bands over overlapping windows retrieve templates, exact containment verifies.
 
 A text's words (runs of letters and digits, lower-cased) give shingles of five words; a template of fewer words is one
-shingle of its own length. Windows slide by one shingle and are as long as a template. A window is looked at where its
-first shingle is one of some template's, and enough of its shingles are: no other window can hold most of a template that an
-earlier or later one doesn't hold as well. The windows' MinHash bands retrieve templates by an equi-join on
-the band hashes; then the shared shingles are counted exactly.
+shingle of its own length. Windows are runs of shingles that overlap by half, of a length that the template's length chooses
+(CLASSES), so that several windows lie wholly in any passage that holds the template. A window's bands are its MinHash values: under
+each of BANDS orders, its least shingle. Templates are cut into windows of the same lengths, at every offset or at a few, and their bands are a
+broadcast table. An equi-join on the band retrieves (document, template); nothing else of a document is looked at.
 
-A window that holds 0.8 of a template of its own length has a Jaccard similarity of 0.8 / 1.2 or more to it, so
-BANDS bands of ROWS rows miss it with a probability under (1 - (2/3)^2)^20 < 1e-5; equal ones are never missed.
+What the settings guarantee, for a passage that holds at least 0.8 of a template's shingles: a window that the passage holds unchanged is a
+window of the template, and all its bands are equal. Of a template of 24 shingles or more at least four text windows lie inside, which
+hold 0.8 of their shingles on average; then the Jaccard similarity is 0.8 / 1.2, a band misses with a probability of 1/3, the
+BANDS bands with under 2e-4, and four windows with under 1e-14 if their misses were independent. Windows of templates of fewer shingles are single
+shingles, and their bands the template's least: as at most a fifth of its k shingles are missing, k / 5 + 1 of them always retrieve it.
 
-Only DataFrame expressions run here. The templates are a parameter of bounded size; their bands are broadcast and their shingles
-stand in the plan. Text never leaves its row; what is joined are the windows around license wording.
+Then each retrieved pair is verified: of all windows as long as the template that begin with one of its shingles, those that hold
+0.8 of its distinct shingles are matches, and matches that overlap are one passage.
 
-Defined cases: a null, blank or short text has no matches; repeated rows each give their own; an empty table gives no rows; other
-columns are ignored.
+Only DataFrame expressions run here. The templates are a parameter of bounded size. Of documents without a retrieved template no
+row leaves its task; of the others, the shingles' hashes do.
+
+Defined cases: a null, blank or short text has no matches; a text of any length is scanned whole; repeated rows each give their own;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +30,9 @@ from pyspark.sql import functions as F
 from mediastrata.llm.common import table
 
 SHINGLE, CONTAINMENT = 5, 0.8
-BANDS, ROWS = 20, 2
+BANDS = 8
+#: By the least number of a template's shingles: the windows' length, and the steps from one window to the next in texts and in templates.
+CLASSES = ((1, 1, 1, 1), (24, 8, 4, 1), (96, 32, 16, 4), (384, 128, 64, 16))
 # Wording of common licenses' notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("all-rights-reserved", "All rights reserved."),
@@ -62,55 +70,86 @@ def _shingles(words: str, n: int) -> str:
     return f"if(size({words}) < {n}, {empty}, transform(sequence(0, size({words}) - {n}), i -> xxhash64({', '.join(f'{words}[i + {k}]' for k in range(n))})))"
 
 
-def _bands(window: str) -> str:
-    """SQL: the band hashes of an array of shingle hashes."""
-    signature = f"transform(sequence(0, {BANDS * ROWS - 1}), j -> array_min(transform({window}, x -> xxhash64(x, j))))"
-    rows = ", ".join(f"s[{ROWS} * b + {r}]" for r in range(ROWS))
-    return _let(signature, "s", f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {rows}))")
+def _orders() -> str:
+    """SQL: an array of numbers; under the k-th, shingles are in the order of their exclusive or with it."""
+    return f"transform(sequence(0, {BANDS - 1}), j -> xxhash64('order', j))"
+
+
+def _bands(shingles: str, length: int, step: int) -> str:
+    """SQL: the bands of all windows of an array of shingle hashes, each of a few once."""
+    if length == 1:
+        return shingles
+    band = f"xxhash64({length}, j, array_min(transform(w, x -> x ^ c)))"
+    of_window = _let(f"slice({shingles}, at + 1, {length})", "w", f"transform(orders, (c, j) -> {band})")
+    every = _let(_orders(), "orders", f"flatten(transform(sequence(0, size({shingles}) - {length}, {step}), at -> {of_window}))")
+    return f"if(size({shingles}) < {length}, cast(array() as array<bigint>), {every})"
 
 
 def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """(license, n, m, shingles): shingle length, number of shingles, and the distinct ones."""
+    """(license, n, m, k, g): shingle length, numbers of shingles and of distinct ones, and the shingles in order."""
     words = spark.createDataFrame(list(templates), "license string, text string").select("license", F.expr(_word_hashes("text")).alias("w")).where(F.size("w") > 0)
     n = F.least(F.lit(SHINGLE), F.size("w"))
     cases = "case n " + " ".join(f"when {k} then {_shingles('w', k)}" for k in range(1, SHINGLE + 1)) + " end"
-    return words.withColumn("n", n).withColumn("s", F.expr(cases)).select("license", "n", F.size("s").alias("m"), F.array_distinct("s").alias("shingles"))
+    return words.withColumn("n", n).withColumn("g", F.expr(cases)).select("license", "n", F.size("g").alias("m"), F.size(F.array_distinct("g")).alias("k"), "g")
+
+
+def _class_of(m: int) -> tuple[int, int, int, int]:
+    return [c for c in CLASSES if c[0] <= m][-1]
+
+
+def template_bands(wanted: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
+    """(license, band): single shingles, as many of the least as can't all be missing, and the bands of longer templates' windows."""
+    few = F.floor(F.col("k") * F.lit(1 - containment) + F.lit(1e-9)).cast("int") + 1
+    parts = [wanted.where(F.col("m") < CLASSES[1][0]).select("license", F.explode(F.slice(F.sort_array(F.array_distinct("g")), F.lit(1), few)).alias("band"))]
+    for (least, length, _, step), (beyond, *_) in zip(CLASSES[1:], [*CLASSES[2:], (1 << 31,)], strict=True):
+        own = wanted.where((F.col("m") >= least) & (F.col("m") < beyond))
+        parts.append(own.select("license", F.explode(F.expr(_bands("g", length, step))).alias("band")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.distinct()
+
+
+def retrieve(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
+    """(row, id, license, g) for each document and template that share a band; g: the document's shingles of the template's length."""
+    wanted = template_table(docs.sparkSession, templates)
+    sizes = {(r["n"], _class_of(r["m"])) for r in wanted.select("n", "m").distinct().collect()}  # the templates' lengths: a parameter
+    if not sizes:
+        return None
+    lengths = sorted({n for n, _ in sizes})
+    shingles = ", ".join(f"'g{n}', {_shingles('h', n)}" for n in lengths)
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), F.expr(_let(_word_hashes(f"`{text_col}`"), "h", f"named_struct({shingles})")).alias("s")
+    )
+    bands = ", ".join(_bands("x.g" + str(n), length, step) for n, (_, length, step, _) in sorted(sizes))
+    # The explode's argument isn't a bare column, so that no filter on its size repeats the whole expression.
+    each = rows.select("id", "row", "s", F.explode(F.expr(_let("s", "x", f"array_distinct(concat({bands}, cast(array() as array<bigint>)))"))).alias("band"))
+    known = template_bands(wanted, containment).join(wanted.select("license", "n"), "license").select(F.col("band").alias("its"), "license", "n")
+    hits = each.join(F.broadcast(known), F.col("band") == F.col("its"))  # broadcast: bands of the templates, which are a parameter
+    own = F.expr("case n " + " ".join(f"when {n} then s.g{n}" for n in lengths) + " end")
+    return hits.select("row", "id", "license", own.alias("g")).groupBy("row", "license").agg(F.first("id").alias("id"), F.first("g").alias("g"))
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage: the document's id, license, first_word (from 0), and the containment of its best window."""
-    spark = docs.sparkSession
-    wanted = template_table(spark, templates)
-    known = wanted.collect()  # the templates: a parameter
-    if not known:
-        return docs.select(id_col).withColumns({"license": F.lit(""), "first_word": F.lit(0).cast("bigint"), "containment": F.lit(0.0)}).limit(0)
-    windows = []
-    for n in sorted({r["n"] for r in known}):
-        own = [r for r in known if r["n"] == n]
-        among = ", ".join(f"{x}L" if x > -(2**63) else "bigint('-9223372036854775808')" for x in sorted({x for r in own for x in r["shingles"]}))
-        lengths = {m: min(len(r["shingles"]) for r in own if r["m"] == m) for m in {r["m"] for r in own}}
-        starts = f"filter(transform(g, (x, i) -> if(x in ({among}), i, -1)), i -> i >= 0)"
-        per_length = [
-            f"transform(filter(p, (i, k) -> k + {need} <= size(p) and p[k + {need} - 1] < i + {m}), i -> struct({n} as n, {m} as m, i as start, slice(g, i + 1, {m}) as w))"
-            for m, need in ((m, max(1, -(-int(k * containment * 1000) // 1000))) for m, k in sorted(lengths.items()))
-        ]
-        none = "cast(array() as array<struct<n: int, m: int, start: int, w: array<bigint>>>)"
-        windows.append(_let(_shingles("h", n), "g", _let(starts, "p", f"if(size(p) = 0, {none}, concat({', '.join(per_length)}))")))
-    found = F.expr(_let(_word_hashes(f"`{text_col}`"), "h", f"concat({', '.join(windows)})"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), found.alias("__found"))
-    # The explode's argument isn't a bare column, so that no filter on its size repeats the whole expression.
-    each = rows.select("__id", "__row", F.explode(F.concat("__found", F.expr("cast(array() as array<struct<n: int, m: int, start: int, w: array<bigint>>>)"))).alias("x"))
-    banded = each.select("__id", "__row", "x", F.explode(F.expr(_bands("x.w"))).alias("band"))
-    bands = wanted.select("license", "n", "m", "shingles", F.explode(F.expr(_bands("shingles"))).alias("band"))
-    key = (banded["x.n"] == bands["n"]) & (banded["x.m"] == bands["m"]) & (banded["band"] == bands["band"])
-    hits = banded.join(F.broadcast(bands), key)  # broadcast: BANDS rows for each template
-    hits = hits.select("__id", "__row", "license", bands["m"].alias("m"), F.col("x.start").alias("start"), (F.size(F.array_intersect("x.w", "shingles")) / F.size("shingles")).alias("containment"))
-    hits = hits.where(F.col("containment") >= containment).groupBy("__row", "license", "m", "start").agg(F.first("__id").alias("__id"), F.first("containment").alias("containment"))
-    along = Window.partitionBy("__row", "license").orderBy("start")
+    found = retrieve(docs, templates, containment, id_col, text_col)
+    if found is None:
+        return docs.select(F.col(f"`{id_col}`").alias(id_col)).withColumns({"license": F.lit(""), "first_word": F.lit(0).cast("bigint"), "containment": F.lit(0.0)}).limit(0)
+    wanted = template_table(docs.sparkSession, templates)
+    own = wanted.select(F.col("license").alias("of"), "m", "k", F.explode(F.array_distinct("g")).alias("its"))
+    each = found.select("row", "license", "id", F.posexplode("g").alias("pos", "h"))
+    shared = each.join(F.broadcast(own), (F.col("license") == F.col("of")) & (F.col("h") == F.col("its")))  # broadcast: the templates' shingles
+    held = shared.groupBy("row", "license", "id", "m", "k").agg(F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("p"))
+    need = f"cast(ceil(k * {containment} - 1e-9) as int)"
+    inside = "size(array_distinct(transform(filter(slice(q, i + 1, m), y -> y.pos < x.pos + m), y -> y.h))) / k"
+    window = f"if(i + {need} <= size(q) and q[i + {need} - 1].pos < x.pos + m, {inside}, 0.0D)"
+    windows = _let("transform(p, y -> y)", "q", f"filter(transform(q, (x, i) -> struct(x.pos as start, {window} as containment)), w -> w.containment >= {containment})")
+    hits = held.select("row", "license", "id", "m", F.explode(F.expr(windows)).alias("w")).select("row", "license", "id", "m", "w.*")
+    along = Window.partitionBy("row", "license").orderBy("start")
     new = F.coalesce((F.col("start") - F.lag("start").over(along) >= F.col("m")).cast("int"), F.lit(0))
     grouped = hits.withColumn("new", new).withColumn("passage", F.sum("new").over(along))
-    out = grouped.groupBy("__row", "license", "passage").agg(F.first("__id").alias(id_col), F.min("start").cast("bigint").alias("first_word"), F.max("containment").alias("containment"))
-    return out.select(id_col, "license", "first_word", "containment")
+    out = grouped.groupBy("row", "license", "passage").agg(F.first("id").alias("id"), F.min("start").cast("bigint").alias("first_word"), F.max("containment").alias("containment"))
+    return out.select(F.col("id").alias(id_col), "license", "first_word", "containment")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
