@@ -11,48 +11,22 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mediastrata.llm import html_extract, simhash, vptree
+from tests.llm.plain import plain_components, plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 
 
-def _plain_fingerprint(text):
-    words = (text or "").encode().lower().split()
-    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
-    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def _plain_components(rows):
-    """rows: (id, fingerprint). The smallest id that each reaches."""
-    group = {f: f for _, f in rows}
-
-    def top(f):
-        while group[f] != f:
-            f = group[f]
-        return f
-
-    for a, b in itertools.combinations(sorted(group), 2):
-        if (a ^ b).bit_count() <= 3:
-            group[top(b)] = top(a)
-    least = {}
-    for i, f in rows:
-        if i is not None:
-            least[top(f)] = min(least.get(top(f), i), i)
-    return [least.get(top(f)) for _, f in rows]
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.text("abAB é\x85\n\t", max_size=60))
 def test_fingerprint(text):
-    assert simhash.fingerprint(text) & 2**64 - 1 == _plain_fingerprint(text)
+    assert simhash.fingerprint(text) & 2**64 - 1 == plain_fingerprint(text)
 
 
 def test_anchors_cover():
@@ -86,10 +60,10 @@ def test_classes_equal_brute_force(spark, crowd):
         root = roots.get(f, f)
         least[root] = min(least.get(root, k), k)
     got = [least[roots.get(f - 2**64 if f >> 63 else f, f - 2**64 if f >> 63 else f)] for _, f in rows]
-    assert got == _plain_components(rows)
+    assert got == plain_components(rows)
     if crowd == 4096:
         found = {(r["fp"]): r["component_id"] for r in simhash.classes(df).collect()}
-        assert [found[f - 2**64 if f >> 63 else f] for _, f in rows] == _plain_components(rows)
+        assert [found[f - 2**64 if f >> 63 else f] for _, f in rows] == plain_components(rows)
 
 
 def test_a_crowd_streams_past_its_homes():
@@ -124,8 +98,8 @@ def test_a_crowd_streams_past_its_homes():
 
 
 def test_near_duplicates_odd(odd, empty):
-    rows = [(r["doc_id"], _plain_fingerprint(r["text"])) for r in odd.collect()]
-    want = sorted(zip([str(i) for i, _ in rows], [f"{f:016x}" for _, f in rows], _plain_components(rows), strict=True), key=str)
+    rows = [(r["doc_id"], plain_fingerprint(r["text"])) for r in odd.collect()]
+    want = sorted(zip([str(i) for i, _ in rows], [f"{f:016x}" for _, f in rows], plain_components(rows), strict=True), key=str)
     got = sorted(((str(r["doc_id"]), r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()), key=str)
     assert got == want
     kept = simhash.drop_near_duplicates(odd)
