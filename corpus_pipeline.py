@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mediastrata.llm import packing, quality, simhash, toxicity
-from mediastrata.llm.common import fresh_path, table
+from mediastrata.llm.common import drop, materialized, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +37,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: No SQL form: the later stages train a model and run a tokenizer; tests hold each stage against a plain version.
+#: No SQL form: the later stages train a model and run a tokenizer. A test holds run() against the stages written out in plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written to the shared folder and read again by the next, after which the one before is deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = fresh_path(spark, f"pipeline-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs, path = materialized(docs, f"pipeline-{name}")
+            if before:
+                drop(spark, before)
+            before = path
     return docs
