@@ -192,15 +192,9 @@ def track_id_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.track_ids(chunks.where("work_id % 2 = 0"), chunks.where("track_id = 0"), chunks, ["work_id"])
 
 
-@_query("SELECT doc_id, upper(hex(substr(text, 2, 3)::BLOB)) AS chunk FROM documents WHERE strlen(text) >= 8 AND len(text) = strlen(text)")
-def chunk_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("octet_length(text) >= 8 AND length(text) = octet_length(text)")
-    return docs.select("doc_id", F.hex(entries.chunk_bytes(F.encode("text", "UTF-8"), F.lit(1), F.lit(3))).alias("chunk"))
-
-
 @_query(f"WITH {_CHUNKS_SQL} SELECT doc_id, chunk_index, {CAP} * chunk_index AS \"offset\", len(x) // 2 AS size, upper(x) AS chunk FROM c")
-def whole_chunk_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every chunk of every document, read at its offset; chunk_reads takes three bytes of the longer ASCII texts only, as its SQL does."""
+def chunk_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk of every document, read at its offset."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("bytes"))
     length = F.octet_length("bytes").cast("bigint")
     starts = F.when(length > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((length - 1) / CAP)))
