@@ -9,6 +9,7 @@ import os
 import sys
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,14 +59,9 @@ def _open(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _save(manifests: DataFrame, chunks: DataFrame, path: str) -> None:
-    rows = works.containers(manifests, chunks).collect()  # one work
-    if not rows:
+    rows = works.containers(manifests, chunks).toLocalIterator()  # one work, a part at a time
+    if not container.write_rows(rows, lambda _: open(path, "wb")):
         raise SystemExit("No chunks selected")
-    row = rows[0]
-    tracks = [(t["track_id"], t["codec"], t["total_chunks"], t["chunk_size"]) for t in row["tracks"]]
-    data = container.to_bytes(row["manifest"].encode(), tracks, [(c["track_id"], c["chunk_index"], c["pts"], bytes(c["data"])) for c in row["chunks"]])
-    with open(path, "wb") as f:
-        f.write(data)
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -98,18 +94,21 @@ def main(arguments: list[str] | None = None) -> int:
     if a.command == "clip":
         who = keys.signers(spark, keys.load(a.key), a.clipper_name)
         asked = [(0, str(uuid.uuid4()), "input", a.track, a.start_time, a.end_time, a.start, a.end)]
-        _save(*works.clip(manifests, chunks, spark.createDataFrame(asked, _REQUEST), who, _now()), a.output)
+        clips, parts, errors = works.clip(manifests, chunks, spark.createDataFrame(asked, _REQUEST), who, _now())
+        for r in errors.collect():  # one request
+            raise SystemExit(r["error"])
+        _save(clips, parts, a.output)
         return 0
     extension = os.path.splitext(a.output)[1].lstrip(".")
-    rows = works.extract(manifests, chunks, extension).orderBy("track_id").collect()
-    for r in rows:
-        if r["error"]:
-            raise SystemExit(f"track {r['track_id']}: {r['error']}")
-    for r in rows:  # a single raw track is the file; elementary streams stand beside one another, for a muxer
+    rows = works.extract(manifests, chunks, extension).persist(StorageLevel.DISK_ONLY)
+    for r in rows.where("error IS NOT NULL").orderBy("track_id").select("track_id", "error").collect():
+        raise SystemExit(f"track {r['track_id']}: {r['error']}")
+    for r in rows.orderBy("track_id", "part").toLocalIterator():  # a single raw track is the file; elementary streams stand beside one another, for a muxer
         path = a.output if r["mode"] == "passthrough" else f"{a.output}.{r['track_id']}.{r['codec']}"
-        with open(path, "wb") as f:
+        with open(path, "ab" if r["part"] else "wb") as f:
             f.write(bytes(r["data"]))
-        print(path)
+        if not r["part"]:
+            print(path)
     return 0
 
 

@@ -686,7 +686,7 @@ def clipped_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = chunks.groupBy("work_id").agg(F.count("*").alias("n"))
     none = F.lit(None).cast("double")
     requests = n.select(F.col("work_id").alias("request_id"), F.concat(F.lit("clip-"), "work_id").alias("derivative_id"), "work_id", F.lit(0).cast("bigint").alias("track_id"), none.alias("start_time"), none.alias("end_time"), F.lit(0).cast("bigint").alias("start_chunk"), F.lit(2).cast("bigint").alias("end_chunk"))
-    clips, parts = works.clip(signed, chunks, written(requests, "requests"), _SIGNERS)
+    clips, parts, _ = works.clip(signed, chunks, written(requests, "requests"), _SIGNERS)
     clips, parts = written(clips, "clips"), written(parts, "clip-chunks")
     verdict = works.verify(clips, parts, _SIGNERS.ttp.public_key().hex()).select("work_id", "ok")
     streamed = verifier.verify_chunks(parts, clips).groupBy("work_id").agg(F.sum(F.col("valid").cast("bigint")).alias("n_streamed"), F.count("*").alias("n_chunks"))
@@ -720,7 +720,7 @@ def later_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame(_RANGES, "kind string, start_time double, end_time double, start_chunk bigint, end_chunk bigint")
     requests = chunks.select("work_id").distinct().crossJoin(F.broadcast(asked)).withColumn("request_id", F.concat_ws("-", "kind", "work_id"))  # broadcast: three rows
     requests = requests.select("request_id", F.col("request_id").alias("derivative_id"), "work_id", F.lit(0).cast("bigint").alias("track_id"), "start_time", "end_time", "start_chunk", "end_chunk")
-    clips, parts = works.clip(signed, chunks, written(requests, "requests"), _SIGNERS)
+    clips, parts, _ = works.clip(signed, chunks, written(requests, "requests"), _SIGNERS)
     clips, parts = written(clips, "clips"), written(parts, "clip-chunks")
     verdict = works.verify(clips, parts, _SIGNERS.ttp.public_key().hex()).select("work_id", "ok")
     streamed = verifier.verify_chunks(parts, clips).groupBy("work_id").agg(F.sum(F.col("valid").cast("bigint")).alias("n_streamed"), F.count("*").alias("n_chunks"))

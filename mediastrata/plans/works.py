@@ -1,14 +1,13 @@
 """Whole works as DataFrames: sign, verify, clip, extract, and the metadata of extracted files.
 
 A work is a row of manifests (work_id, manifest) and rows of chunks (work_id, track_id, chunk_index, pts, is_idr, offset, size, data). Payloads
-stay where they were cut: only hashes and numbers are shuffled.
+stay where they were cut: only hashes and numbers are shuffled. A manifest that can't be read fails by itself and no other's checks.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,6 +22,7 @@ from mediastrata.functions.perceptual import perceptual_hash_column
 from mediastrata.operators import entries, merkle, ranges
 from mediastrata.operators.chunking import DEFAULT_CAP
 from mediastrata.plans import manifests as m
+from mediastrata.sources import container
 from mediastrata.sources.media import chunk_tracks
 from mediastrata.sources.staging import written
 
@@ -30,19 +30,45 @@ _FACTS = ["codec", "container_type", "codec_extradata", "width", "height", "samp
 _STEP = T.StructType([T.StructField("is_left", T.BooleanType()), T.StructField("hash", T.StringType())])
 
 
-def sign(files: DataFrame, signers: m.Signers, title: str = "Untitled", author_name: str = "Default Author", author_role: str = "original", created_at: str = "1970-01-01T00:00:00Z", cap: int = DEFAULT_CAP, codec_col: str | None = None, container_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+#: Tables of so many rows at most, counted first, are broadcast to rows that hold payloads.
+BROADCAST_ROWS = 1_000_000
+#: Bytes of a part of an extracted track, about.
+PART_BYTES = 64 << 20
+
+
+def _beside_payload(small: DataFrame) -> DataFrame:
+    """A table of numbers for a join with rows that hold payloads: broadcast if it has BROADCAST_ROWS at most, else joined by shuffling both."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def sign(
+    files: DataFrame,
+    signers: m.Signers,
+    title: str = "Untitled",
+    author_name: str = "Default Author",
+    author_role: str = "original",
+    created_at: str = "1970-01-01T00:00:00Z",
+    cap: int = DEFAULT_CAP,
+    codec_col: str | None = None,
+    container_col: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(manifests, chunks) of works whose inputs are rows (work_id, input_ord, data); a work's track ids run on over its inputs.
 
-    The role and the keys are checked before any media is read. Times are arguments, so that a run can be repeated.
+    The role and the keys are checked before any media is read. Times are arguments, so that a run can be repeated. Inputs are cut and
+    hashed once, into a written table; offsets inside an input are known there, and only its base is joined to its chunks.
     """
     if author_role.lower() not in m.ROLES:
         raise ValueError(f"author role must be one of {', '.join(m.ROLES)}")
     author = {"author_id": signers.author.public_key().hex(), "name": author_name, "role": author_role.lower()}
-    chunks = chunk_tracks(files, ["work_id", "input_ord"], codec_col=codec_col, container_col=container_col, cap=cap)
-    hashed = chunks.withColumn("size", F.octet_length("data").cast("bigint")).withColumn("hash", hex_column(hash_column(F.col("data"), "blake3")))
-    hashed = hashed.withColumn("perceptual_hash", F.when(F.col("chunk_index") == 0, perceptual_hash_column(F.col("data"))))
-    ids = F.dense_rank().over(Window.partitionBy("work_id").orderBy("input_ord")).cast("bigint") - 1
-    meta = entries.with_offsets(hashed.drop("data").withColumn("track_id", ids), ["work_id"], ["track_id", "chunk_index"])
+    cut = chunk_tracks(files, ["work_id", "input_ord"], codec_col=codec_col, container_col=container_col, cap=cap)
+    cut = cut.withColumn("size", F.octet_length("data").cast("bigint")).withColumn("hash", hex_column(hash_column(F.col("data"), "blake3")))
+    cut = written(cut.withColumn("perceptual_hash", F.when(F.col("chunk_index") == 0, perceptual_hash_column(F.col("data")))), "signed-chunks")
+    along = Window.partitionBy("work_id").orderBy("input_ord")
+    base = F.coalesce(F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    inputs = cut.groupBy("work_id", "input_ord").agg(F.sum("size").alias("n"))
+    inputs = written(inputs.select("work_id", "input_ord", (F.row_number().over(along) - 1).cast("bigint").alias("track_id"), base.alias("base")), "signed-inputs")
+    placed = cut.join(_beside_payload(inputs), ["work_id", "input_ord"]).withColumn("offset", F.col("base") + F.col("at"))
+    meta = placed.drop("data")
     roots = merkle.roots(meta, ["work_id", "track_id"], algorithm="blake3")
     tracks = meta.groupBy("work_id", "track_id", *_FACTS).agg(
         F.sort_array(F.collect_list(F.struct("chunk_index", "pts", "offset", "size"))).alias("chunk_index"), F.max("perceptual_hash").alias("perceptual_hash"), F.count("*").alias("total_chunks"), F.lit(cap).cast("bigint").alias("chunk_size")
@@ -56,13 +82,15 @@ def sign(files: DataFrame, signers: m.Signers, title: str = "Untitled", author_n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["work_id", "manifest"])
 
     kind = dict(files.dtypes)["work_id"]
-    payload = hashed.select("work_id", "input_ord", "chunk_index", "data").join(meta.select("work_id", "input_ord", "chunk_index", "track_id", "pts", "is_idr", "offset", "size"), ["work_id", "input_ord", "chunk_index"])
-    return works.mapInArrow(write, f"work_id {kind}, manifest string"), payload.select("work_id", "track_id", "chunk_index", "pts", "is_idr", "offset", "size", "data")
+    return works.mapInArrow(write, f"work_id {kind}, manifest string"), placed.select("work_id", "track_id", "chunk_index", "pts", "is_idr", "offset", "size", "data")
 
 
-def _parsed(batch: pa.RecordBatch) -> Iterator[tuple[Any, dict[str, Any]]]:
-    for work, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        yield work, canonical("manifest", json.loads(text))
+def _checked(text: str | None, ttp_key: str) -> list[m.Check]:
+    """The checks of one manifest; one that can't be read, or lacks what it must hold, fails as malformed."""
+    try:
+        return list(m.checks(canonical("manifest", json.loads(text or "")), ttp_key))
+    except (ValueError, KeyError, TypeError, AttributeError, IndexError) as e:
+        return [m.Check("malformed", -1, False, message=f"{type(e).__name__}: {e}"[:200])]
 
 
 def manifest_checks(manifests: DataFrame, ttp_key: str) -> DataFrame:
@@ -70,7 +98,8 @@ def manifest_checks(manifests: DataFrame, ttp_key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(work, c.code, c.order, c.ok, c.track_id, c.chunk_index, c.message) for work, manifest in _parsed(batch) for c in m.checks(manifest, ttp_key)]
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            rows = [(work, c.code, c.order, c.ok, c.track_id, c.chunk_index, c.message) for work, text in pairs for c in _checked(text, ttp_key)]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             kinds = [batch.schema.field(0).type, pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["work_id", "code", "ord", "ok", "track_id", "chunk_index", "message"])
@@ -79,15 +108,15 @@ def manifest_checks(manifests: DataFrame, ttp_key: str) -> DataFrame:
     return manifests.select("work_id", "manifest").mapInArrow(run, f"work_id {kind}, code string, ord bigint, ok boolean, track_id bigint, chunk_index bigint, message string")
 
 
-def _tracks(manifests: DataFrame) -> DataFrame:
-    """(work_id, kind, track_id, codec, timebase_num, timebase_den, merkle_root, container_type, codec_extradata) of the original's tracks."""
+def original_tracks(manifests: DataFrame) -> DataFrame:
+    """(work_id, kind, track_ord, track_id, codec, timebase_num, timebase_den, merkle_root, container_type, codec_extradata) of the original's tracks."""
     track = "array<struct<track_id: bigint, codec: string, timebase_num: bigint, timebase_den: bigint, merkle_root: string, container_type: string, codec_extradata: string, total_chunks: bigint, chunk_size: bigint>>"
     parsed = F.from_json("manifest", f"content struct<type: string, tracks: {track}, original_owd: struct<tracks: {track}>>")
     content = manifests.select("work_id", parsed.alias("p")).select("work_id", "p.content.*")
-    return content.select("work_id", F.col("type").alias("kind"), F.explode(F.coalesce("tracks", "original_owd.tracks")).alias("t")).select("work_id", "kind", "t.*")
+    return content.select("work_id", F.col("type").alias("kind"), F.posexplode(F.coalesce("tracks", "original_owd.tracks")).alias("track_ord", "t")).select("work_id", "kind", "track_ord", "t.*")
 
 
-def _proofs(manifests: DataFrame) -> DataFrame:
+def clip_proofs(manifests: DataFrame) -> DataFrame:
     """(work_id, track_id, proof_ord, chunk_index, hash, chunk_size, pts, path) of clips."""
     proof = "struct<chunk_index: bigint, hash: string, path: array<struct<is_left: boolean, hash: string>>, chunk_size: bigint, pts: bigint>"
     parsed = F.from_json("manifest", f"content struct<clip_mappings: array<struct<track_id: bigint, proofs: array<{proof}>>>>")
@@ -102,22 +131,22 @@ def verify(manifests: DataFrame, chunks: DataFrame, ttp_key: str) -> DataFrame:
     Originals: signatures, fingerprint, and each track's root over its chunks. Clips: signatures, fingerprint, the chain, each proof's
     path, each chunk's hash against its proof, and that the payload holds what the proofs account for and no more.
     """
-    hashed = chunks.select("work_id", "track_id", "chunk_index", "size", hex_column(hash_column(F.col("data"), "blake3")).alias("hash"))
-    tracks = _tracks(manifests)
+    hashed = written(chunks.select("work_id", "track_id", "chunk_index", "size", hex_column(hash_column(F.col("data"), "blake3")).alias("hash")), "verify-hashes")
+    tracks = original_tracks(manifests)
     roots = merkle.roots(hashed, ["work_id", "track_id"], algorithm="blake3")
     rooted = tracks.where("kind = 'Original'").join(roots.withColumnRenamed("merkle_root", "actual"), ["work_id", "track_id"], "left")
     none = F.lit(None).cast("bigint")
     root_checks = rooted.select(
         "work_id", F.lit("merkle_root").alias("code"), (F.lit(100) + F.col("track_id")).alias("ord"), (F.coalesce("actual", F.lit(merkle.EMPTY_ROOT)) == F.col("merkle_root")).alias("ok"), "track_id", none.alias("chunk_index"), F.lit("Merkle root mismatch").alias("message")
     )
-    proofs = _proofs(manifests)
+    proofs = clip_proofs(manifests)
     had = hashed.select("work_id", "track_id", "chunk_index", F.col("hash").alias("actual"))
     chunk_checks = proofs.join(had, ["work_id", "track_id", "chunk_index"], "left").select(
         "work_id", F.lit("chunk_hash").alias("code"), F.lit(1_000_001).cast("bigint").alias("ord"), F.coalesce(F.col("actual") == F.col("hash"), F.lit(False)).alias("ok"), "track_id", "chunk_index",
         F.when(F.col("actual").isNull(), "missing chunk of a proof").otherwise("Integrity mismatch").alias("message"),
     )
     proved = proofs.groupBy("work_id").agg(F.sum("chunk_size").alias("proved"))
-    held = chunks.groupBy("work_id").agg(F.sum("size").alias("held"))
+    held = hashed.groupBy("work_id").agg(F.sum("size").alias("held"))
     extra = tracks.where("kind = 'Derivative'").select("work_id").distinct().join(proved, "work_id", "left").join(held, "work_id", "left")
     extra_checks = extra.select("work_id", F.lit("extra_bytes").alias("code"), F.lit(2_000_000).cast("bigint").alias("ord"), (F.coalesce("proved", F.lit(0)) == F.coalesce("held", F.lit(0))).alias("ok"), none.alias("track_id"), none.alias("chunk_index"), F.lit("extra data beside what the proofs account for").alias("message"))
     every = manifest_checks(manifests, ttp_key).unionByName(root_checks).unionByName(chunk_checks).unionByName(extra_checks)
@@ -126,116 +155,194 @@ def verify(manifests: DataFrame, chunks: DataFrame, ttp_key: str) -> DataFrame:
     return verdict.withColumn("first_failure", F.get("failures", F.lit(0))["code"])
 
 
-@F.arrow_udf(T.ArrayType(T.ArrayType(_STEP)))
-def _paths(hashes: pa.Array) -> pa.Array:
-    """The BLAKE3 proof paths of all leaves of each track."""
-    out = []
-    for leaves in hashes.to_pylist():
-        levels = merkle.tree([bytes.fromhex(x) for x in leaves])
-        paths = []
-        for pos in range(len(leaves)):
-            steps = []
-            for k, level in enumerate(levels[:-1]):
-                sibling = (pos >> k) ^ 1
-                if sibling < len(level):
-                    steps.append({"is_left": bool(pos >> k & 1), "hash": level[sibling].hex()})
-            paths.append(steps)
-        out.append(paths)
-    return pa.array(out, pa.list_(pa.list_(pa.struct([("is_left", pa.bool_()), ("hash", pa.string())]))))
-
-
-def clip(manifests: DataFrame, chunks: DataFrame, requests: DataFrame, signers: m.Signers, created_at: str = "1970-01-01T00:00:00Z") -> tuple[DataFrame, DataFrame]:
-    """(manifests, chunks) of the clips that requests ask for; a clip's work_id is its derivative_id.
+_MADE = T.ArrayType(T.StructType([T.StructField("chunk_index", T.LongType()), T.StructField("hash", T.StringType()), T.StructField("path", T.ArrayType(_STEP))]))
 
-    requests: request_id, derivative_id, work_id, track_id (the reference track), start_time, end_time, start_chunk, end_chunk. The range is that of both
-    times, else of both chunk indexes on the reference track, else of the one time given. It begins at an IDR of every video track
-    that has one before it. Every track with a timebase is cut to it; a clip without chunks, on a raw track, or of a work whose
-    signatures don't hold, gives no rows.
-    """
-    ttp_key = signers.ttp.public_key().hex()
-    sound = manifest_checks(manifests, ttp_key).where(F.col("code").isin("signatures", "signatures_ttp")).groupBy("work_id").agg(F.bool_and("ok").alias("ok")).where("ok").select("work_id")
-    manifests = written(manifests.join(sound, "work_id", "left_semi").select("work_id", "manifest"), "clip-manifests")
-    tracks = written(_tracks(manifests), "clip-tracks")
-    bases = tracks.select("work_id", "track_id", "codec", "timebase_num", "timebase_den")
-    index = written(chunks.select("work_id", "track_id", "chunk_index", "pts", "is_idr", "size"), "clip-index")
-    asked = requests.join(bases, ["work_id", "track_id"]).where(F.lower("codec") != "raw")
+
+@F.arrow_udf(_MADE)
+def _paths(indexes: pa.Array, hashes: pa.Array, wanted: pa.Array) -> pa.Array:
+    """The BLAKE3 proof paths of the wanted leaves of each track."""
+    out = []
+    for numbers, leaves, chosen in zip(indexes.to_pylist(), hashes.to_pylist(), wanted.to_pylist(), strict=True):
+        levels, chosen, made = merkle.tree([bytes.fromhex(x) for x in leaves]), set(chosen), []
+        for pos, number in enumerate(numbers):
+            if number in chosen:
+                siblings = [((pos >> k) ^ 1, bool(pos >> k & 1), level) for k, level in enumerate(levels[:-1])]
+                steps = [{"is_left": left, "hash": level[at].hex()} for at, left, level in siblings if at < len(level)]
+                made.append({"chunk_index": number, "hash": leaves[pos], "path": steps})
+        out.append(made)
+    return pa.array(out, pa.list_(pa.struct([("chunk_index", pa.int64()), ("hash", pa.string()), ("path", pa.list_(pa.struct([("is_left", pa.bool_()), ("hash", pa.string())])))])))
+
+
+def _mapped(manifests: DataFrame) -> DataFrame:
+    """(work_id, track_id) of the tracks that clips map."""
+    parsed = F.from_json("manifest", "content struct<clip_mappings: array<struct<track_id: bigint>>>")
+    return manifests.select("work_id", F.explode(parsed["content"]["clip_mappings"]["track_id"]).alias("track_id")).distinct()
+
+
+def _asked(manifests: DataFrame, requests: DataFrame, bases: DataFrame, ttp_key: str) -> DataFrame:
+    """requests with codec, timebase, the kind of their range, and error where they can't be answered whatever the chunks are."""
+    checked = manifest_checks(manifests, ttp_key).where(F.col("code").isin("malformed", "signatures", "signatures_ttp"))
+    sound = checked.groupBy("work_id").agg(F.bool_and("ok").alias("sound"))
     kind = ranges.range_kind(F.col("start_time"), F.col("end_time"), F.col("start_chunk"), F.col("end_chunk"))
-    asked = asked.withColumn("kind", kind)
+    rows = requests.join(sound, "work_id", "left").join(bases, ["work_id", "track_id"], "left").withColumn("kind", kind)
+    error = (
+        F.when(F.col("sound").isNull(), "no such work")
+        .when(~F.col("sound"), "the work's signatures don't hold")
+        .when(F.col("codec").isNull(), "the work has no such track")
+        .when(F.lower("codec") == "raw", "a raw track can't be clipped")
+        .when(F.col("kind").isNull(), "neither times nor chunk indexes are given")
+    )
+    return written(rows.withColumn("error", error), "clip-requests")
+
+
+def _windows(asked: DataFrame, index: DataFrame, bases: DataFrame) -> DataFrame:
+    """(request_id, start_time, end_time) for every track of each request's work, begun at an IDR of every video track that has one before it."""
     keys = ["work_id", "track_id"]
-    open_range = ranges.time_to_chunks(asked.where("kind = 'open_time'"), index, keys)
-    by_index = asked.where("kind = 'index'").select("request_id", F.col("start_chunk").alias("first_chunk"), "end_chunk").unionByName(open_range.select("request_id", "first_chunk", "end_chunk"))
+    open_range = written(ranges.time_to_chunks(asked.where("kind = 'open_time'"), index, keys), "clip-open")
+    by_index = asked.where("kind = 'index'").select("request_id", F.col("start_chunk").alias("first_chunk"), "end_chunk")
+    by_index = by_index.unionByName(open_range.select("request_id", "first_chunk", "end_chunk"))
     timed = ranges.chunks_to_time(by_index.join(asked.select("request_id", *keys, "timebase_num", "timebase_den"), "request_id"), index, keys)
-    window = asked.where("kind = 'time'").select("request_id", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time")).unionByName(timed.select("request_id", "start_time", "end_time")).where("start_time IS NOT NULL AND end_time IS NOT NULL")
-    each = written(window.join(asked.select("request_id", "work_id"), "request_id").join(bases, "work_id").withColumn("part", F.concat_ws("/", "request_id", "track_id")), "clip-windows")
+    given = asked.where("kind = 'time'").select("request_id", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"))
+    window = given.unionByName(timed.select("request_id", "start_time", "end_time")).where("start_time IS NOT NULL AND end_time IS NOT NULL")
+    each = window.join(asked.select("request_id", "work_id"), "request_id").join(bases, "work_id").withColumn("part", F.concat_ws("/", "request_id", "track_id"))
+    each = written(each, "clip-windows")
     video = each.where(F.lower("codec").isin(*VIDEO_CODECS))
-    video_first = ranges.time_to_chunks(video, index, keys, "part").join(video, "part")
-    snapped = ranges.snap_to_idr(video_first.where("first_chunk IS NOT NULL"), index, keys, "part").where("idr_chunk IS NOT NULL")
-    idr_time = ranges.chunks_to_time(snapped.withColumn("first_chunk", F.col("idr_chunk")).withColumn("end_chunk", F.col("idr_chunk") + 1).join(video.select("part", "timebase_num", "timebase_den"), "part"), index, keys, "part")
+    first = written(ranges.time_to_chunks(video, index, keys, "part").where("first_chunk IS NOT NULL").join(video, "part"), "clip-video")
+    snapped = written(ranges.snap_to_idr(first, index, keys, "part").where("idr_chunk IS NOT NULL"), "clip-snapped")
+    from_idr = snapped.select("part", *keys, F.col("idr_chunk").alias("first_chunk"), (F.col("idr_chunk") + 1).alias("end_chunk"))
+    idr_time = ranges.chunks_to_time(from_idr.join(video.select("part", "timebase_num", "timebase_den"), "part"), index, keys, "part")
     earliest = idr_time.join(video.select("part", "request_id"), "part").groupBy("request_id").agg(F.min("start_time").alias("idr_time"))
-    each = written(each.join(earliest, "request_id", "left").withColumn("start_time", F.least("start_time", "idr_time")), "clip-starts")
+    return written(each.join(earliest, "request_id", "left").withColumn("start_time", F.least("start_time", "idr_time")), "clip-starts")
+
+
+def clip(
+    manifests: DataFrame, chunks: DataFrame, requests: DataFrame, signers: m.Signers, created_at: str = "1970-01-01T00:00:00Z"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifests, chunks, errors) of the clips that requests ask for; a clip's work_id is its derivative_id.
+
+    requests: request_id, derivative_id, work_id, track_id (the reference track), start_time, end_time, start_chunk, end_chunk. The range is that of both
+    times, else of both chunk indexes on the reference track, else of the one time given. It begins at an IDR of every video track
+    that has one before it. Every track with a timebase is cut to it. errors: request_id, derivative_id, work_id and error of each
+    request that gives no clip: an unknown or unsound work, a track that is unknown or raw, no usable range, no chunks in it, or a
+    chunk of a clip whose proof its manifest lacks.
+    """
+    keys = ["work_id", "track_id"]
+    tracks = written(original_tracks(manifests), "clip-tracks")
+    bases = tracks.select(*keys, "codec", "timebase_num", "timebase_den")
+    index = written(chunks.select(*keys, "chunk_index", "pts", "is_idr", "size"), "clip-index")
+    status = _asked(manifests, requests, bases, signers.ttp.public_key().hex())
+    asked = status.where("error IS NULL")
+    each = _windows(asked, index, bases)
     cut = ranges.time_to_chunks(each, index, keys, "part").where("first_chunk IS NOT NULL").join(each.select("part", "request_id", *keys), "part")
-    selected = ranges.select_clip(cut.select("request_id", *keys, "first_chunk", "end_chunk"), index, keys)
-
-    leaves = chunks.join(tracks.where("kind = 'Original'").select(*keys), keys, "left_semi").select(*keys, "chunk_index", hex_column(hash_column(F.col("data"), "blake3")).alias("hash"))
-    own = leaves.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "hash"))).alias("l"))
-    made = own.select(*keys, F.explode(F.arrays_zip(F.col("l.chunk_index").alias("chunk_index"), F.col("l.hash").alias("hash"), _paths(F.col("l.hash")).alias("path"))).alias("z")).select(*keys, "z.*")
-    fresh = selected.join(made, [*keys, "chunk_index"]).select("request_id", *keys, "first_chunk", "end_chunk", "chunk_index", "hash", "path", F.col("size").alias("chunk_size"), "pts")
-    kept = selected.select("request_id", *keys, "first_chunk", "end_chunk", "chunk_index").join(_proofs(manifests).drop("proof_ord"), [*keys, "chunk_index"])
-    proofs = written(fresh.unionByName(kept), "clip-proofs")
+    selected = written(ranges.select_clip(cut.select("request_id", *keys, "first_chunk", "end_chunk"), index, keys), "clip-selected")
+
+    # Originals: only works and tracks that are cut are hashed, and only selected leaves get a path.
+    whole = selected.join(tracks.where("kind = 'Original'").select(*keys).distinct(), keys, "left_semi")
+    wanted = whole.groupBy(*keys).agg(F.collect_set("chunk_index").alias("wanted"))
+    leaves = chunks.join(_beside_payload(wanted.select(*keys)), keys, "left_semi").select(*keys, "chunk_index", hex_column(hash_column(F.col("data"), "blake3")).alias("hash"))
+    own = leaves.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("chunk_index", "hash"))).alias("l")).join(wanted, keys)
+    made = own.select(*keys, F.explode(_paths(F.col("l.chunk_index"), F.col("l.hash"), F.col("wanted"))).alias("z")).select(*keys, "z.*")
+    columns = ["request_id", *keys, "first_chunk", "end_chunk", "chunk_index", "hash", "path", "chunk_size", "pts"]
+    fresh = whole.withColumnRenamed("size", "chunk_size").join(made, [*keys, "chunk_index"]).select(columns)
+
+    # Clips: the proofs that they hold; tracks that they don't map are left out, and a chunk without its proof fails the request.
+    had = clip_proofs(manifests).groupBy(*keys, "chunk_index").agg(F.max_by(F.struct("hash", "path", "chunk_size", "pts"), "proof_ord").alias("p"))
+    parts = selected.select("request_id", *keys, "first_chunk", "end_chunk", "chunk_index").join(_mapped(manifests), keys, "left_semi")
+    kept = written(parts.join(had, [*keys, "chunk_index"], "left").select("request_id", *keys, "first_chunk", "end_chunk", "chunk_index", "p.*"), "clip-kept")
+    lacking = kept.where("hash IS NULL").groupBy("request_id").agg(F.min(F.struct("track_id", "chunk_index")).alias("x"))
+    lacking = lacking.select("request_id", F.format_string("missing proof for chunk %d in track %d", "x.chunk_index", "x.track_id").alias("why"))
+    proofs = written(fresh.unionByName(kept.select(columns)).join(lacking, "request_id", "left_anti"), "clip-proofs")
+
     mapping = proofs.groupBy("request_id", *keys, "first_chunk", "end_chunk").agg(F.sort_array(F.collect_list(F.struct("chunk_index", "hash", "path", "chunk_size", "pts"))).alias("proofs"))
-    mappings = mapping.groupBy("request_id", "work_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("track_id", F.col("first_chunk").alias("start_chunk_index"), F.col("end_chunk").alias("end_chunk_index"), "proofs")))).alias("mappings"))
-    ready = mappings.join(manifests, "work_id").join(requests.select("request_id", "derivative_id"), "request_id").select("derivative_id", "manifest", "mappings")
+    entry = F.struct("track_id", F.col("first_chunk").alias("start_chunk_index"), F.col("end_chunk").alias("end_chunk_index"), "proofs")
+    mappings = mapping.groupBy("request_id", "work_id").agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("mappings"))
+    named = requests.select("request_id", "derivative_id")
+    ready = mappings.join(manifests.select("work_id", "manifest"), "work_id").join(named, "request_id").select("derivative_id", "manifest", "mappings")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clipper = signers.author.public_key().hex()
         for batch in batches:
             out = []
-            for derivative_id, source, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                content = m.derivative(str(derivative_id), canonical("manifest", json.loads(source)), clipper, created_at, json.loads(parts))
+            for derivative_id, source, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content = m.derivative(str(derivative_id), canonical("manifest", json.loads(source)), clipper, created_at, json.loads(part))
                 out.append(to_bytes(m.signed(content, signers)).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["work_id", "manifest"])
 
     id_kind = dict(requests.dtypes)["derivative_id"]
-    rows = proofs.select("request_id", *keys, "chunk_index").join(requests.select("request_id", "derivative_id"), "request_id").join(chunks.drop("offset"), [*keys, "chunk_index"])
-    rows = entries.with_offsets(rows.select(F.col("derivative_id").alias("work_id"), "track_id", "chunk_index", "pts", "is_idr", "size", "data"), ["work_id"], ["track_id", "chunk_index"])
-    return ready.mapInArrow(write, f"work_id {id_kind}, manifest string"), rows.select("work_id", "track_id", "chunk_index", "pts", "is_idr", "offset", "size", "data")
+    ordered = entries.with_offsets(proofs.select("request_id", *keys, "chunk_index").join(index, [*keys, "chunk_index"]), ["request_id"], ["track_id", "chunk_index"])
+    places = written(ordered.join(named, "request_id").select("derivative_id", *keys, "chunk_index", "offset"), "clip-places")
+    rows = chunks.drop("offset").join(_beside_payload(places), [*keys, "chunk_index"])
+    rows = rows.select(F.col("derivative_id").alias("work_id"), "track_id", "chunk_index", "pts", "is_idr", "offset", "size", "data")
+    why = F.coalesce("error", "why", F.when(F.col("timed").isNull(), "no usable range").when(F.col("cut").isNull(), "no chunks are in the range"))
+    told = status.join(lacking, "request_id", "left").join(each.select("request_id", F.lit(True).alias("timed")).distinct(), "request_id", "left")
+    told = told.join(proofs.select("request_id", F.lit(True).alias("cut")).distinct(), "request_id", "left").select("request_id", "derivative_id", "work_id", why.alias("error"))
+    return ready.mapInArrow(write, f"work_id {id_kind}, manifest string"), rows, told.where("error IS NOT NULL")
 
 
 def containers(manifests: DataFrame, chunks: DataFrame, name: str = "concat(work_id, '.smed')") -> DataFrame:
-    """(name, manifest, tracks, chunks) rows as the container sink takes them, one work each."""
-    tracks = chunks.groupBy("work_id", "track_id").agg(F.count("*").alias("total_chunks"), F.max("size").alias("chunk_size")).join(_tracks(manifests).select("work_id", "track_id", "codec"), ["work_id", "track_id"])
+    """Rows (name, ord, manifest, tracks, index, data) as the container sink takes them: of each work a head, then its chunks in payload order.
+
+    A work's rows are one task's, in order, so that a file is written as it comes and no work is held in memory.
+    """
+    sizes = chunks.groupBy("work_id", "track_id").agg(F.count("*").alias("total_chunks"), F.max("size").alias("chunk_size"))
+    tracks = sizes.join(original_tracks(manifests).select("work_id", "track_id", "codec"), ["work_id", "track_id"])
     tables = tracks.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("track_id", "codec", "total_chunks", "chunk_size"))).alias("tracks"))
-    payload = chunks.groupBy("work_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("offset", "track_id", "chunk_index", "pts", "data"))), lambda c: F.struct(c["track_id"].alias("track_id"), c["chunk_index"].alias("chunk_index"), c["pts"].alias("pts"), c["data"].alias("data"))).alias("chunks"))
-    return manifests.join(tables, "work_id").join(payload, "work_id").select(F.expr(name).alias("name"), "manifest", "tracks", "chunks")
+    places = chunks.groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("offset", "track_id", "chunk_index", "pts", "size"))).alias("index"))
+    heads = manifests.join(tables, "work_id").join(places, "work_id").select(F.expr(name).alias("name"), F.lit(-1).cast("bigint").alias("ord"), "manifest", "tracks", "index")
+    known = _beside_payload(written(manifests.select("work_id"), "container-works"))
+    rows = chunks.join(known, "work_id", "left_semi").select(F.expr(name).alias("name"), F.col("offset").alias("ord"), "data")
+    return heads.unionByName(rows, allowMissingColumns=True).repartition("name").sortWithinPartitions("name", "ord")
 
 
 def extract(manifests: DataFrame, chunks: DataFrame, extension: str) -> DataFrame:
-    """work_id, track_id, codec, mode, data, error: each track's bytes in payload order.
+    """work_id, track_id, codec, mode, part, data, error: each track's bytes in payload order, in parts of about PART_BYTES.
 
     A single raw track passes through if the extension fits its type. Others are elementary streams to be muxed, video with its parameter sets
     in front; a raw track among several, or an extension that no muxer makes, is an error.
     """
-    tracks = _tracks(manifests).join(chunks.select("work_id", "track_id").distinct(), ["work_id", "track_id"], "left_semi")
-    own = tracks.withColumn("n", F.count("*").over(Window.partitionBy("work_id")))
+    numbers = chunks.groupBy("work_id", "track_id").agg(F.min("offset").alias("first"))
+    own = original_tracks(manifests).join(numbers, ["work_id", "track_id"]).withColumn("n", F.count("*").over(Window.partitionBy("work_id")))
     raw, muxed = F.lower("codec") == "raw", F.lit(extension.lower() in ("mp4", "mkv", "webm"))
     fits = F.coalesce(extension_matches(F.lit(extension), F.col("container_type")), F.lit(False))
-    error = F.when(raw & (F.col("n") > 1), "a raw track can't be muxed with others").when(raw & ~fits, "the extension doesn't fit the raw track's type").when(~raw & ~muxed, "the extension needs a raw track")
+    error = (
+        F.when(raw & (F.col("n") > 1), "a raw track can't be muxed with others")
+        .when(raw & ~fits, "the extension doesn't fit the raw track's type")
+        .when(~raw & ~muxed, "the extension needs a raw track")
+    )
     kept = own.withColumn("error", error).withColumn("mode", F.when(raw, "passthrough").otherwise("elementary"))
-    payload = chunks.groupBy("work_id", "track_id").agg(F.sort_array(F.collect_list(F.struct("offset", "data"))).alias("parts"))
-    joined = kept.join(payload, ["work_id", "track_id"])
-    first = with_extradata(F.get("parts", F.lit(0))["data"], F.col("codec_extradata"), F.lower("codec"))
-    rest = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), first, lambda done, p: F.concat(done, p["data"]))
-    return joined.select("work_id", "track_id", "codec", "mode", F.when(F.col("error").isNull(), rest).alias("data"), "error")
+    kept = written(kept.select("work_id", "track_id", "codec", "codec_extradata", "first", "mode", "error"), "extract-tracks")
+    part = lambda at: F.floor(at / PART_BYTES).cast("bigint")
+    good = chunks.join(_beside_payload(kept.where("error IS NULL")), ["work_id", "track_id"])
+    good = good.withColumn("part", part(F.col("offset")) - part(F.col("first")))
+    head = F.when(F.col("offset") == F.col("first"), with_extradata(F.col("data"), F.col("codec_extradata"), F.lower("codec"))).otherwise(F.col("data"))
+    joined = good.withColumn("data", head).groupBy("work_id", "track_id", "codec", "mode", "part").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY offset)").alias("data"))
+    failed = kept.where("error IS NOT NULL").select("work_id", "track_id", "codec", "mode", F.lit(0).cast("bigint").alias("part"), F.lit(None).cast("binary").alias("data"), "error")
+    return joined.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+
+
+def verify_containers(files: DataFrame, ttp_key: str, path_col: str = "path", data_col: str = "data") -> DataFrame:
+    """The verdicts of verify() on whole container files, by path; a file that is no container fails as malformed."""
+    parsed = {t: container.parse_files(files, t, path_col, data_col, mode="permissive") for t in ("manifests", "chunks", "errors")}
+    manifests = parsed["manifests"].select(F.col("path").alias("work_id"), "manifest")
+    good = verify(manifests, parsed["chunks"].withColumnRenamed("path", "work_id"), ttp_key)
+    failure = F.struct(F.lit(-2).cast("bigint").alias("ord"), F.lit("malformed").alias("code"), F.lit(None).cast("bigint").alias("track_id"), F.lit(None).cast("bigint").alias("chunk_index"), F.col("error").alias("message"))
+    bad = parsed["errors"].select(F.col("path").alias("work_id"), F.lit(False).alias("ok"), F.array(failure).alias("failures"), F.lit("malformed").alias("first_failure"))
+    return good.unionByName(bad)
 
 
 @F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
 def _tag_map(manifest: pa.Array, ttp_key: pa.Array) -> pa.Array:
-    out = [None if t is None else list(m.tags(json.loads(t), k).items()) for t, k in zip(manifest.to_pylist(), ttp_key.to_pylist(), strict=True)]
-    return pa.array(out, pa.map_(pa.string(), pa.string()))
+    def one(text: str | None, key: str) -> list[tuple[str, str]] | None:
+        try:
+            return list(m.tags(json.loads(text or ""), key).items())
+        except (ValueError, KeyError, TypeError, AttributeError, IndexError):
+            return None
+
+    return pa.array([one(t, k) for t, k in zip(manifest.to_pylist(), ttp_key.to_pylist(), strict=True)], pa.map_(pa.string(), pa.string()))
 
 
 def tags(manifests: DataFrame, ttp_key: str) -> DataFrame:
-    """work_id and the tags that its extracted file carries."""
+    """work_id and the tags that its extracted file carries; null for a manifest that can't be read."""
     return manifests.select("work_id", _tag_map(F.col("manifest"), F.lit(ttp_key)).alias("tags"))
 
 

@@ -389,10 +389,10 @@ def annexb(data: bytes) -> Stream | None:
     return out
 
 
-def holds_idr(data: bytes, codec: str) -> bool:
-    """Whether a chunk of a video track holds a random access point."""
-    kind = {"h264": "h264", "h265": "h265", "hevc": "h265"}.get(codec.lower())
-    return kind is not None and any(body < len(data) and nal_type(kind, data[body]) in _IDR[kind] for _, body in _starts(data))
+def holds_idr(data: bytes) -> bool:
+    """Whether a chunk of a video track is a stream by itself, of two start codes at least, that holds a random access point."""
+    stream = annexb(data)
+    return stream is not None and any(f.is_idr for f in stream.frames)
 
 
 def by_codec(data: bytes, codec: str) -> Stream | None:

@@ -4,16 +4,20 @@ Layout, all integers little-endian: magic, u32 version; in version 2 sections of
 a u64 length, the manifest, and data to the end. A chunk record without a pts holds the least signed integer in its place; it
 becomes NULL here and nowhere else.
 
-`spark.read.format("provenance").option("table", ...)` reads manifests, tracks, chunks or sections; writing rows of
-(path, manifest, chunks) makes one file for each.
+`spark.read.format("provenance").option("table", ...)` reads manifests, tracks, chunks, sections or errors. With mode permissive a file
+that can't be read has its one row in errors and none elsewhere; with failfast, the default, it fails the read. Writing takes the rows
+of plans.works.containers: of each file a head, then its chunks. Files appear when the whole write commits. The option track
+limits chunks to one track, and no other track's payload is read.
 """
 
 from __future__ import annotations
 
+import contextlib
 import io
 import os
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, BinaryIO
 
@@ -36,7 +40,9 @@ SCHEMAS = {
     "tracks": "path string, ord int, track_id bigint, codec string, total_chunks bigint, chunk_size bigint, index_count bigint",
     "chunks": "path string, track_id bigint, ord bigint, chunk_index bigint, pts bigint, offset bigint, size bigint, data binary",
     "sections": "path string, ord int, type bigint, length bigint, payload_offset bigint",
+    "errors": "path string, error string",
 }
+MODES = ("failfast", "permissive")
 
 
 class ContainerError(ValueError):
@@ -143,21 +149,58 @@ def _section(kind: int, body: bytes) -> bytes:
     return struct.pack("<IQ", kind, len(body)) + body
 
 
-def to_bytes(manifest: bytes, tracks: list[tuple[int, str, int, int]], chunks: list[tuple[int, int, int | None, bytes]]) -> bytes:
-    """A version 2 container. tracks: (track_id, codec, total_chunks, chunk_size). chunks: (track_id, chunk_index, pts, bytes), in payload order."""
+def head(manifest: bytes, tracks: list[tuple[int, str, int, int]], index: list[tuple[int, int, int | None, int, int]]) -> bytes:
+    """All of a version 2 container before its payload. tracks: (track_id, codec, total_chunks, chunk_size). index: (track_id, chunk_index, pts, offset, size)."""
     for track, _, total, _ in tracks:
-        if sum(c[0] == track for c in chunks) != total:
+        if sum(c[0] == track for c in index) != total:
             raise ContainerError(f"track {track} hasn't the chunks that its table says")
-    if {c[0] for c in chunks} - {t[0] for t in tracks}:
+    if {c[0] for c in index} - {t[0] for t in tracks}:
         raise ContainerError("chunks of a track that the table lacks")
-    records, at = np.zeros(len(chunks), RECORD), 0
-    for k, (track, number, pts, data) in enumerate(chunks):
-        records[k] = (track, number, NO_PTS if pts is None else pts, at, len(data))
-        at += len(data)
+    records = np.zeros(len(index), RECORD)
+    for k, (track, number, pts, at, size) in enumerate(index):
+        records[k] = (track, number, NO_PTS if pts is None else pts, at, size)
     table = struct.pack("<I", len(tracks)) + b"".join(struct.pack("<II", t, len(c.encode())) + c.encode() + struct.pack("<QQQ", n, size, n) for t, c, n, size in tracks)
-    index = struct.pack("<Q", len(records)) + records.tobytes()
-    payload = b"".join(c[3] for c in chunks)
-    return MAGIC + struct.pack("<I", V2) + _section(MANIFEST, manifest) + _section(TRACK_TABLE, table) + _section(INDEX, index) + _section(TRACK_DATA, payload)
+    sections = _section(MANIFEST, manifest) + _section(TRACK_TABLE, table) + _section(INDEX, struct.pack("<Q", len(records)) + records.tobytes())
+    return MAGIC + struct.pack("<I", V2) + sections + struct.pack("<IQ", TRACK_DATA, sum(c[4] for c in index))
+
+
+def to_bytes(manifest: bytes, tracks: list[tuple[int, str, int, int]], chunks: list[tuple[int, int, int | None, bytes]]) -> bytes:
+    """A version 2 container. chunks: (track_id, chunk_index, pts, bytes), in payload order."""
+    index, at = [], 0
+    for track, number, pts, data in chunks:
+        index.append((track, number, pts, at, len(data)))
+        at += len(data)
+    return head(manifest, tracks, index) + b"".join(c[3] for c in chunks)
+
+
+def _head_of(row: Any) -> bytes:
+    """The head that a head row of the sink's input stands for."""
+    tracks = [(t["track_id"], t["codec"], t["total_chunks"], t["chunk_size"]) for t in row["tracks"]]
+    return head(row["manifest"].encode(), tracks, [(c["track_id"], c["chunk_index"], c["pts"], c["offset"], c["size"]) for c in row["index"]])
+
+
+def write_rows(rows: Iterator[Any], open_file: Callable[[str], BinaryIO]) -> list[str]:
+    """Writes each file that the rows hold (a head, then its chunks in order) and returns their names."""
+    names, out, left = [], None, 0
+    for row in rows:
+        if row["manifest"] is not None:
+            if left:
+                raise ContainerError(f"{names[-1]}: {left} bytes of payload are missing")
+            if out:
+                out.close()
+            names.append(row["name"])
+            out, left = open_file(row["name"]), sum(c["size"] for c in row["index"])
+            out.write(_head_of(row))
+        elif out is None or row["name"] != names[-1]:
+            raise ContainerError(f"{row['name']}: a chunk before its head")
+        else:
+            out.write(row["data"])
+            left -= len(row["data"])
+    if out:
+        out.close()
+    if left:
+        raise ContainerError(f"{names[-1]}: {left} bytes of payload are missing")
+    return names
 
 
 def _signed(x: int) -> int:
@@ -166,8 +209,23 @@ def _signed(x: int) -> int:
     return int(x)
 
 
-def rows(table: str, path: str, f: BinaryIO) -> Iterator[tuple[Any, ...]]:
-    """The rows of one table of one container, in the order of SCHEMAS."""
+def rows(table: str, path: str, f: BinaryIO, mode: str = "failfast", track: int | None = None) -> Iterator[tuple[Any, ...]]:
+    """The rows of one table of one container, in the order of SCHEMAS; track: chunks of that track only."""
+    if table == "errors" or mode == "permissive":
+        try:
+            found = list(_rows("manifests", path, f, None)) + list(_rows("tracks", path, f, None)) if table == "errors" else list(_rows(table, path, f, track))
+            for _ in _rows("chunks", path, f, None):  # every chunk stands inside the payload
+                pass
+        except (ContainerError, UnicodeDecodeError, struct.error) as e:
+            found = [(path, str(e))] if table == "errors" else []
+        else:
+            found = [] if table == "errors" else found
+        yield from found
+    else:
+        yield from _rows(table, path, f, track)
+
+
+def _rows(table: str, path: str, f: BinaryIO, track_id: int | None) -> Iterator[tuple[Any, ...]]:
     c = open_container(f)
     if table == "manifests":
         f.seek(0, os.SEEK_END)
@@ -180,11 +238,13 @@ def rows(table: str, path: str, f: BinaryIO) -> Iterator[tuple[Any, ...]]:
             yield path, k, kind, length, at
     else:
         for k, r in enumerate(c.index):
+            if track_id is not None and r["track_id"] != track_id:
+                continue
             offset, size, pts = _signed(r["offset"]), _signed(r["size"]), int(r["pts"])
             yield path, int(r["track_id"]), k, _signed(r["chunk_index"]), None if pts == NO_PTS else pts, offset, size, c.read(f, offset, size)
 
 
-def parse_files(files: DataFrame, table: str, path_col: str = "path", data_col: str = "data") -> DataFrame:
+def parse_files(files: DataFrame, table: str, path_col: str = "path", data_col: str = "data", mode: str = "failfast") -> DataFrame:
     """A table of containers whose bytes are a column, as from spark.read.format("binaryFile"): any file system that Spark reads."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -194,7 +254,7 @@ def parse_files(files: DataFrame, table: str, path_col: str = "path", data_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = list(rows(table, path, io.BytesIO(data.as_py())))
+                found = list(rows(table, path, io.BytesIO(data.as_py()), mode))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
@@ -211,6 +271,9 @@ class _Reader(DataSourceReader):
         self.table = options.get("table", "manifests")
         if self.table not in SCHEMAS:
             raise ValueError(f"unknown table {self.table!r}: one of {', '.join(SCHEMAS)}")
+        self.mode, self.track = options.get("mode", "failfast").lower(), int(options["track"]) if "track" in options else None
+        if self.mode not in MODES:
+            raise ValueError(f"unknown mode {self.mode!r}: one of {', '.join(MODES)}")
         self.path = options["path"].removeprefix("file://")
 
     def partitions(self) -> list[_File]:
@@ -220,23 +283,56 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _File) -> Iterator[tuple[Any, ...]]:
         with open(partition.path, "rb") as f:
-            yield from rows(self.table, partition.path, f)
+            yield from rows(self.table, partition.path, f, self.mode, self.track)
+
+
+@dataclass
+class _Wrote(WriterCommitMessage):
+    """(temporary path, name) of a task's files."""
+
+    files: list[tuple[str, str]] = field(default_factory=list)
 
 
 class _Writer(DataSourceWriter):
+    """Tasks write temporary files beside their targets; the commit moves them there, an abort deletes them."""
+
     def __init__(self, options: dict[str, str]):
         self.path = options["path"].removeprefix("file://")
 
     def write(self, iterator: Iterator[Any]) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
-        for row in iterator:
-            tracks = [(t["track_id"], t["codec"], t["total_chunks"], t["chunk_size"]) for t in row["tracks"]]
-            chunks = [(c["track_id"], c["chunk_index"], c["pts"], bytes(c["data"])) for c in row["chunks"]]
-            target = os.path.join(self.path, row["name"])
-            with open(f"{target}.{os.getpid()}.tmp", "wb") as f:
-                f.write(to_bytes(row["manifest"].encode(), tracks, chunks))
-            os.replace(f"{target}.{os.getpid()}.tmp", target)
-        return WriterCommitMessage()
+        made: dict[str, str] = {}
+
+        def open_file(name: str) -> BinaryIO:
+            if name in made or os.path.basename(name) != name or name in ("", ".", "..") or name.startswith((".", "_")):
+                raise ContainerError(f"{name!r} isn't the name of a file of its own")
+            made[name] = os.path.join(self.path, f".{uuid.uuid4().hex}.tmp")
+            return open(made[name], "wb")
+
+        try:
+            write_rows(iterator, open_file)
+        except BaseException:
+            self._delete(list(made.values()))
+            raise
+        return _Wrote([(tmp, name) for name, tmp in made.items()])
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        files = [f for m in messages if m is not None for f in m.files]
+        names = [name for _, name in files]
+        if twice := {n for n in names if names.count(n) > 1} if len(set(names)) < len(names) else set():
+            self._delete([tmp for tmp, _ in files])
+            raise ContainerError(f"several works are named {sorted(twice)[0]!r}")
+        for tmp, name in files:
+            os.replace(tmp, os.path.join(self.path, name))
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        self._delete([tmp for m in messages if m is not None for tmp, _ in m.files])
+
+    @staticmethod
+    def _delete(paths: list[str]) -> None:
+        for p in paths:
+            with contextlib.suppress(FileNotFoundError):
+                os.remove(p)
 
 
 class ProvenanceSource(DataSource):

@@ -14,7 +14,7 @@ from mediastrata.operators.chunking import DEFAULT_CAP, MAX_AUDIO_US, group_fram
 from mediastrata.sources import bitstream
 
 TRACK = "codec string, container_type string, codec_extradata string, width bigint, height bigint, sample_rate bigint, channel_count int, timebase_num bigint, timebase_den bigint"
-CHUNK = "chunk_index bigint, pts bigint, is_idr boolean, data binary"
+CHUNK = "chunk_index bigint, pts bigint, is_idr boolean, data binary, at bigint"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +32,12 @@ def stream_chunks(data: bytes, stream: bitstream.Stream | None, cap: int) -> Ite
     frames = stream.frames
     for first, pts, count, _ in group_frames(((f.length, f.pts, f.duration, f.is_idr) for f in frames), cap, None if video else MAX_AUDIO_US, video):
         run = frames[first : first + count]
-        yield pts, any(f.is_idr for f in run), b"".join([data[f.start : f.start + f.length] for f in run])
+        part = b"".join([data[f.start : f.start + f.length] for f in run])
+        yield pts, any(f.is_idr for f in run) and bitstream.holds_idr(part), part
 
 
 def chunk_tracks(files: DataFrame, keys: list[str], data_col: str = "data", codec_col: str | None = None, container_col: str | None = None, cap: int = DEFAULT_CAP) -> DataFrame:
-    """One row per chunk: keys, the track's facts, chunk_index, pts, is_idr, data.
+    """One row per chunk: keys, the track's facts, chunk_index, pts, is_idr, data, and at, the bytes of the input's earlier chunks.
 
     Images stay opaque. With codec_col, rows are demuxed streams of a container (container_col) and are parsed by their codec; codecs
     that aren't supported have no rows. Otherwise elementary streams are recognized by their bytes, and all else, containers
@@ -56,7 +57,7 @@ def chunk_tracks(files: DataFrame, keys: list[str], data_col: str = "data", code
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = None
         for batch in batches:
-            to = to or pa.schema([batch.schema.field(k) for k in range(len(keys))] + [pa.field(n, t) for n, t in zip(names[len(keys) :], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)])
+            to = to or pa.schema([batch.schema.field(k) for k in range(len(keys))] + [pa.field(n, t) for n, t in zip(names[len(keys) :], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()), strict=True)])
             for row in batch.to_pylist():
                 content, codec = row["__data"] or b"", row["__codec"]
                 stream = None if row["__opaque"] else bitstream.by_codec(content, codec) if codec else bitstream.elementary(content)
@@ -65,7 +66,10 @@ def chunk_tracks(files: DataFrame, keys: list[str], data_col: str = "data", code
                 s = stream or bitstream.Stream("raw")
                 num, den = s.timebase or (None, None)
                 facts = [row[k] for k in keys] + [s.codec, row["__kind"], s.extradata.hex() if s.extradata is not None else None, s.width, s.height, s.sample_rate, s.channels, num, den]
-                out = [[*facts, k, pts, idr, part] for k, (pts, idr, part) in enumerate(stream_chunks(content, stream, cap))]
+                out, at = [], 0
+                for k, (pts, idr, part) in enumerate(stream_chunks(content, stream, cap)):
+                    out.append([*facts, k, pts, idr, part, at])
+                    at += len(part)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), to, strict=True)], schema=to)
 
@@ -74,7 +78,13 @@ def chunk_tracks(files: DataFrame, keys: list[str], data_col: str = "data", code
 
 @F.arrow_udf(T.BooleanType())
 def _idr(data: pa.Array, codec: pa.Array) -> pa.Array:
-    return pa.array([bitstream.holds_idr(d or b"", c or "") for d, c in zip(data.to_pylist(), codec.to_pylist(), strict=True)], pa.bool_())
+    return pa.array([(c or "") in detect.VIDEO_CODECS and bitstream.holds_idr(d or b"") for d, c in zip(data.to_pylist(), codec.to_pylist(), strict=True)], pa.bool_())
+
+
+def first_track(chunks: DataFrame, keys: list[str], order: str = "input_ord") -> DataFrame:
+    """The chunks of each key's first track: of the least `order` that has any. A key without tracks has no rows."""
+    least = chunks.groupBy(*keys).agg(F.min(order).alias("__first"))
+    return chunks.join(least, keys).where(F.col(order) == F.col("__first")).drop("__first")
 
 
 def idr_column(data: Column, codec: Column) -> Column:

@@ -17,34 +17,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mediastrata.functions.canonical import canonical
-from mediastrata.functions.hashing import blake3
+from mediastrata.functions.hashing import blake3, hash_column, hex_column
 from mediastrata.operators import merkle
 from mediastrata.plans import manifests as m
+from mediastrata.plans import works
 
 
 @F.arrow_udf(T.BooleanType())
-def _verdicts(manifest: pa.Array, track: pa.Array, index: pa.Array, data: pa.Array, compat: pa.Array) -> pa.Array:
-    parsed: dict[str, dict[str, Any]] = {}
-    out = []
-    for text, t, i, d, c in zip(*(x.to_pylist() for x in (manifest, track, index, data, compat)), strict=True):
-        if text is None or i is None:
-            out.append(False)
-            continue
-        if text not in parsed:
-            parsed[text] = canonical("manifest", json.loads(text))
-        out.append(m.verify_chunk(parsed[text], t, i, d or b"", c))
-    return pa.array(out, pa.bool_())
+def _proves(proof: pa.Array, root: pa.Array) -> pa.Array:
+    """Whether each proof's path leads from its hash to the root."""
+    return pa.array([r is not None and m.proves(r, {**p, "hash": p["hash"] or "", "path": p["path"] or []}) for p, r in zip(proof.to_pylist(), root.to_pylist(), strict=True)], pa.bool_())
+
+
+def known_proofs(manifests: DataFrame, compat: bool = False) -> DataFrame:
+    """(work_id, track_id, chunk_index, expected, proved): the first proof of every chunk of the clips, judged once against its root.
+
+    compat: a chunk is looked up by its index in any track, and the root is the first track's.
+    """
+    proofs, tracks = works.clip_proofs(manifests), works.original_tracks(manifests)
+    keys = ["work_id"] if compat else ["work_id", "track_id"]
+    first = F.min_by("merkle_root", "track_ord") if compat else F.first("merkle_root")
+    roots = tracks.groupBy(*keys).agg(first.alias("root"))
+    chosen = proofs.groupBy(*keys, "chunk_index").agg(F.min_by(F.struct("hash", "path"), "proof_ord").alias("p"))
+    return chosen.join(roots, keys, "left").select(*keys, "chunk_index", F.col("p.hash").alias("expected"), _proves("p", "root").alias("proved"))
 
 
 def verify_chunks(chunks: DataFrame, manifests: DataFrame, compat: bool = False) -> DataFrame:
-    """Adds valid to each chunk (work_id, track_id, chunk_index, data) of a stream or a table; false for works that aren't known.
+    """Adds valid to each chunk (work_id, track_id, chunk_index, data) of a stream or a table; false for works that aren't known or can't be read.
 
+    Proofs are judged once, before any chunk comes; a chunk meets its own proof's row, and only its bytes are hashed then.
     compat: originals' chunks are valid, and a clip's are looked up by index alone under the first track's root.
     """
-    known = manifests.select("work_id", F.col("manifest").alias("__manifest"))
-    joined = chunks.join(known, "work_id", "left")
-    return joined.withColumn("valid", _verdicts(F.col("__manifest"), F.col("track_id"), F.col("chunk_index"), F.col("data"), F.lit(compat))).drop("__manifest")
+    proofs = known_proofs(manifests, compat)
+    keys = ["work_id", "chunk_index"] if compat else ["work_id", "track_id", "chunk_index"]
+    rows = chunks.join(proofs.withColumnsRenamed({"expected": "__expected", "proved": "__proved"}), keys, "left")
+    hashed = hex_column(hash_column(F.coalesce("data", F.lit(b"")), "blake3"))
+    valid = F.coalesce((hashed == F.col("__expected")) & F.col("__proved"), F.lit(False))
+    if compat:
+        originals = works.original_tracks(manifests).where("kind = 'Original'").select("work_id", F.lit(True).alias("__original")).distinct()
+        rows = rows.join(originals, "work_id", "left")
+        valid = F.coalesce("__original", valid)
+    return rows.withColumn("valid", valid).select(*chunks.columns, "valid")
+
+
+def verify_json(chunks: DataFrame, manifest: str) -> DataFrame:
+    """The same of one clip's chunks (chunk_index, data) against its manifest as JSON: by index alone, as a verifier does that knows no tracks."""
+    known = chunks.sparkSession.createDataFrame([("only", manifest)], "work_id string, manifest string")
+    named = chunks.withColumn("work_id", F.lit("only")).withColumn("track_id", F.lit(None).cast("bigint"))
+    return verify_chunks(named, known, compat=True).drop("work_id", "track_id")
+
+
+def has_signatures(manifests: DataFrame) -> DataFrame:
+    """work_id and signed: whether there is any signature at all. None is checked here."""
+    parsed = F.from_json("manifest", "signatures array<struct<public_key: string>>")
+    return manifests.select("work_id", F.coalesce(F.size(parsed["signatures"]) > 0, F.lit(False)).alias("signed"))
 
 
 ROOT_SCHEMA = "work_id string, track_id bigint, n_chunks bigint, merkle_root string, ok boolean"

@@ -133,7 +133,7 @@ def signed(spark):
 @pytest.fixture(scope="module")
 def clipped(spark, signed):
     asked = [(1, "d1", "w1", 0, 1.0, 3.0, None, None), (2, "d2", "w2", 0, None, None, 2, 3), (3, "d3", "w1", 1, 0.0, 1.0, None, None)]
-    manifests, chunks = works.clip(*signed, spark.createDataFrame(asked, REQUEST), SIGNERS)
+    manifests, chunks, _ = works.clip(*signed, spark.createDataFrame(asked, REQUEST), SIGNERS)
     return manifests.cache(), chunks.cache()
 
 
@@ -170,7 +170,7 @@ def test_clip(spark, signed, clipped):
 
 def test_clip_of_a_clip(spark, clipped):
     asked = spark.createDataFrame([(1, "e1", "d1", 0, 2.0, None, None, None)], REQUEST)
-    manifests, chunks = works.clip(*clipped, asked, SIGNERS)
+    manifests, chunks, _ = works.clip(*clipped, asked, SIGNERS)
     manifests, chunks = manifests.cache(), chunks.cache()
     assert works.verify(manifests, chunks, TTP_KEY).first()["ok"]
     assert {r["chunk_index"] for r in chunks.collect()} < {1, 2, 3}
@@ -227,7 +227,7 @@ def test_streamed_chunks(spark, signed, clipped, tmp_path):
 def test_streamed_roots(spark, signed, tmp_path):
     chunks = signed[1].where("work_id = 'w1'").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     chunks.repartition(2).write.parquet(str(tmp_path / "in"))
-    tracks = works._tracks(signed[0]).select("work_id", "track_id", "total_chunks", "merkle_root")
+    tracks = works.original_tracks(signed[0]).select("work_id", "track_id", "total_chunks", "merkle_root")
     stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = verifier.track_roots(stream.select("work_id", "track_id", "chunk_index", "data", "ts"), tracks).writeStream.format("memory").queryName("roots").outputMode("append").start()
     query.processAllAvailable()
