@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Signatures, brands and box types.
@@ -104,3 +104,16 @@ def demux_parameters(codec: Column) -> Column:
 def mux_format(codec: Column) -> Column:
     known = F.create_map(*[x for k, v in MUX_FORMATS.items() for x in (F.lit(k), F.lit(v))])
     return F.try_element_at(known, F.lower(codec))
+
+
+def demuxable(streams: DataFrame, keys: list[str], kind: str = "codec_type", codec: str = "codec_name", index: str = "index") -> DataFrame:
+    """A container's streams that are demuxed: audio and video of supported codecs; track_ord numbers them by index."""
+    kept = streams.where(F.col(kind).isin("video", "audio") & demux_parameters(F.col(codec)).isNotNull())
+    return kept.withColumn("track_ord", F.row_number().over(Window.partitionBy(*keys).orderBy(index)).cast("bigint") - 1)
+
+
+def lower_tags(tags: Column) -> Column:
+    """Tags with lower-case keys; of keys that are then equal the last counts."""
+    pairs = F.transform(F.map_entries(tags), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.transform(pairs, lambda p, j: F.struct(p["key"].alias("key"), j.alias("j"))), lambda p: (p["key"] == e["key"]) & (p["j"] > i)))
+    return F.map_from_entries(last)

@@ -97,3 +97,14 @@ def chunk_bytes(data: Column, offset: Column, size: Column) -> Column:
     """A chunk of a payload; an error where it isn't inside."""
     inside = (offset >= 0) & (size >= 0) & (offset + size <= F.octet_length(data))
     return F.when(inside, F.substring(data, (offset + 1).cast("int"), size.cast("int"))).otherwise(F.raise_error(F.lit("Requested data outside of track data section")).cast("binary"))
+
+
+def read_chunk(data: Column, offset: Column, size: Column) -> Column:
+    """struct(bytes, error): a chunk of a payload, or why it can't be read."""
+    error = F.when((offset < 0) | (size < 0), "Invalid range").when(offset + size > F.octet_length(data), "Requested data outside of track data section")
+    return F.struct(F.when(error.isNull(), F.substring(data, (offset + 1).cast("int"), size.cast("int"))).alias("bytes"), error.alias("error"))
+
+
+def read_fixed(data: Column, number: Column, chunk_size: Column) -> Column:
+    """The same of the number-th chunk of equal chunks; a short last one isn't inside."""
+    return read_chunk(data, number * chunk_size, chunk_size)

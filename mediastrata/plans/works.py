@@ -7,7 +7,8 @@ stay where they were cut: only hashes and numbers are shuffled. A manifest that
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -93,6 +94,19 @@ def _checked(text: str | None, ttp_key: str) -> list[m.Check]:
         return [m.Check("malformed", -1, False, message=f"{type(e).__name__}: {e}"[:200])]
 
 
+def resigned(manifests: DataFrame, signers: m.Signers, change: Callable[[dict[str, Any]], dict[str, Any]]) -> DataFrame:
+    """The manifests with their contents changed and signed anew, as an editor does who holds the keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents = [canonical("manifest", json.loads(t))["content"] for t in batch.column(1).to_pylist()]
+            out = [to_bytes(m.signed(change(c), signers)).decode() for c in contents]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["work_id", "manifest"])
+
+    kind = dict(manifests.dtypes)["work_id"]
+    return manifests.select("work_id", "manifest").mapInArrow(run, f"work_id {kind}, manifest string")
+
+
 def manifest_checks(manifests: DataFrame, ttp_key: str) -> DataFrame:
     """(work_id, code, ord, ok, track_id, chunk_index, message) of the checks that need no media."""
 

@@ -81,6 +81,50 @@ def _idr(data: pa.Array, codec: pa.Array) -> pa.Array:
     return pa.array([(c or "") in detect.VIDEO_CODECS and bitstream.holds_idr(d or b"") for d, c in zip(data.to_pylist(), codec.to_pylist(), strict=True)], pa.bool_())
 
 
+#: Parsers of whole streams by name, as frames() takes them.
+PARSERS = {"adts": bitstream.adts, "opus": bitstream.ogg_opus, "flac": bitstream.flac, "annexb": bitstream.annexb, "elementary": bitstream.elementary}
+FRAME = "frame_index bigint, start bigint, length bigint, pts bigint, duration bigint, is_idr boolean, codec string, extradata string, sample_rate bigint, channels bigint"
+
+
+def frames(files: DataFrame, keys: list[str], parser: str, data_col: str = "data") -> DataFrame:
+    """One row per frame (page, unit) of each stream, with the stream's facts; bytes that aren't such a stream, or null, have none."""
+    schema = T.StructType([*(f for f in files.select(*keys).schema.fields), *T.StructType.fromDDL(FRAME).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = PARSERS[parser]
+        for batch in batches:
+            for k in range(batch.num_rows):
+                stream = read(batch.column(batch.num_columns - 1)[k].as_py() or b"")
+                if stream is None or not stream.frames:
+                    continue
+                n = len(stream.frames)
+                own = [pa.repeat(batch.column(c)[k], n) for c in range(len(keys))]
+                each = zip(*[(i, f.start, f.length, f.pts, f.duration, f.is_idr) for i, f in enumerate(stream.frames)], strict=True)
+                facts = (stream.codec, stream.extradata.hex() if stream.extradata is not None else None, stream.sample_rate, stream.channels)
+                kinds = [pa.int64()] * 5 + [pa.bool_()]
+                told = [pa.array([x] * n, t) for x, t in zip(facts, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(each, kinds, strict=True)), *told], names=schema.names)
+
+    return files.select(*keys, F.col(data_col)).mapInArrow(run, schema)
+
+
+_SIZE = T.StructType([T.StructField(n, T.LongType()) for n in ("width", "height", "timebase_num", "timebase_den")])
+
+
+@F.arrow_udf(_SIZE)
+def _parameter_set(sps: pa.Array) -> pa.Array:
+    out = []
+    for x in sps.to_pylist():
+        size, base = (None, None) if x is None else bitstream.h264_parameters(x)
+        out.append({"width": size and size[0], "height": size and size[1], "timebase_num": base and base[0], "timebase_den": base and base[1]})
+    return pa.array(out, pa.struct([(n, pa.int64()) for n in _SIZE.names]))
+
+
+def parameter_set(sps: Column) -> Column:
+    """struct(width, height, timebase_num, timebase_den) of H.264 sequence parameter sets, each with its NAL header; null where it doesn't say."""
+    return _parameter_set(sps)
+
+
 def first_track(chunks: DataFrame, keys: list[str], order: str = "input_ord") -> DataFrame:
     """The chunks of each key's first track: of the least `order` that has any. A key without tracks has no rows."""
     least = chunks.groupBy(*keys).agg(F.min(order).alias("__first"))

@@ -22,12 +22,11 @@ def _clear() -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written once and read again: a lost executor costs its tasks, and later steps plan on a short lineage.
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder that the cluster shares; what is written there goes when the driver ends.
 
     The folder is spark.checkpoint.dir; one of our own only where that is unset in local mode, elsewhere an error.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
@@ -40,5 +39,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     if not _WRITTEN:
         atexit.register(_clear)
     _WRITTEN[path] = spark
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written once and read again: a lost executor costs its tasks, and later steps plan on a short lineage."""
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
