@@ -227,7 +227,9 @@ def blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
             continue
         if tag in RAW or tag in SHOWN_RAW:
             if lower is None:
-                lower = page.translate(_LOWER)
+                lower = page.lower()
+                if len(lower) != size:  # some letter has a longer lower case
+                    lower = page.translate(_LOWER)
             end = -1 if tag in unended else lower.find(f"</{tag}", at)
             if end < 0:
                 unended.add(tag)
