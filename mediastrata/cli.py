@@ -1,4 +1,4 @@
-"""Commands on files: gen-key, sign, clip, extract, verify, verify-metadata. Each is one small Spark job; batches use plans.works directly."""
+"""Commands on files: gen-key, sign, clip, extract, verify, verify-metadata, info. Each is one small Spark job; batches use plans.works directly."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from mediastrata.functions import keys
 from mediastrata.operators.chunking import DEFAULT_CAP
 from mediastrata.plans import works
-from mediastrata.sources import container
-from mediastrata.sources.media import idr_column
+from mediastrata.sources import container, external
+from mediastrata.sources.media import idr_column, read_files
 
 _REQUEST = "request_id int, derivative_id string, work_id string, track_id long, start_time double, end_time double, start_chunk long, end_chunk long"
 
@@ -40,7 +40,8 @@ def parser() -> argparse.ArgumentParser:
     command("clip", into, key, out, (("--clipper-name",), {}), (("--start",), {"type": int}), (("--end",), {"type": int}), (("--start-time",), {"type": float}), (("--end-time",), {"type": float}), (("--track",), {"type": int, "default": 0}))
     command("extract", into, out)
     command("verify", into)
-    command("verify-metadata", (("--tags",), {"required": True, "help": "JSON file of a media file's tags"}))
+    command("verify-metadata", (("--input",), {"help": "a media file, whose tags ffprobe reads"}), (("--tags",), {"help": "or a JSON file of its tags"}))
+    command("info", into)
     return p
 
 
@@ -74,9 +75,14 @@ def main(arguments: list[str] | None = None) -> int:
         if value:
             spark.conf.set(name, value)
     if a.command == "verify-metadata":
-        with open(a.tags) as f:
-            tags = {str(k): str(v) for k, v in json.load(f).items()}
-        found = works.verify_metadata(spark.createDataFrame([(tags,)], "tags map<string, string>")).first()["mismatches"]
+        if a.tags:
+            with open(a.tags) as f:
+                tagged = spark.createDataFrame([({str(k): str(v) for k, v in json.load(f).items()},)], "tags map<string, string>")
+        elif a.input:
+            tagged = external.read_tags(read_files(spark, a.input))
+        else:
+            raise SystemExit("one of --input and --tags is needed")
+        found = works.verify_metadata(tagged).first()["mismatches"]
         print(found or "Metadata verification OK")
         return int(bool(found))
     if a.command == "sign":
@@ -91,6 +97,10 @@ def main(arguments: list[str] | None = None) -> int:
         row = works.verify(manifests, chunks, keys.ttp_public(spark)).first()
         print(json.dumps({"ok": row["ok"], "failures": [f.asDict() for f in row["failures"]]}))
         return int(not row["ok"])
+    if a.command == "info":
+        for r in works.report(manifests).collect() + works.report_details(manifests, keys.ttp_public(spark)).orderBy("section", "ord").collect():
+            print(json.dumps({k: v for k, v in r.asDict().items() if v is not None and k != "work_id"}))
+        return 0
     if a.command == "clip":
         who = keys.signers(spark, keys.load(a.key), a.clipper_name)
         asked = [(0, str(uuid.uuid4()), "input", a.track, a.start_time, a.end_time, a.start, a.end)]

@@ -251,6 +251,18 @@ def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "g.error", F.hex("g.bytes").alias("chunk"), F.hex("f.bytes").alias("fixed"))
 
 
+@query(
+    f"""WITH {registry.WORKS_SQL}, w AS (SELECT DISTINCT work_id FROM n)
+SELECT work_id, 'author' AS section, 0 AS ord, 'original' AS label, 'Default Author' AS name, NULL::BIGINT AS first, NULL::BIGINT AS stop FROM w
+UNION ALL SELECT work_id, 'track', row_number() OVER (PARTITION BY work_id ORDER BY doc_id) - 1, 'Unknown', 'raw', NULL, k FROM n
+UNION ALL SELECT work_id, 'signature', 0, 'Author Key (Default Author)', '{registry.SIGNERS.author.public_key().hex()}', NULL, NULL FROM w
+UNION ALL SELECT work_id, 'signature', 1, 'TTP Key', '{registry.TTP_KEY}', NULL, NULL FROM w"""
+)
+def work_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a report lists of each work: authors, tracks, and whose the signatures are."""
+    return works.report_details(registry.signed_sources(spark, sf_dir)[0], registry.TTP_KEY)
+
+
 # --- known answers ---
 
 # Published vectors. BLAKE3 of bytes k mod 251, and RFC 8032's first tests of Ed25519.

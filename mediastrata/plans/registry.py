@@ -618,7 +618,7 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Keys for tests and examples; a real signer is passed in by the caller.
 SIGNERS = manifests.Signers(SigningKey(bytes(range(32))), SigningKey(bytes(32)), "Example Author")
 TTP_KEY = SIGNERS.ttp.public_key().hex()
-_WORKS_SQL = "n AS (SELECT source AS work_id, doc_id, (strlen(text) + 4095) // 4096 AS k FROM documents WHERE strlen(text) > 0)"
+WORKS_SQL = "n AS (SELECT source AS work_id, doc_id, (strlen(text) + 4095) // 4096 AS k FROM documents WHERE strlen(text) > 0)"
 
 
 def signed_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -628,7 +628,7 @@ def signed_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return written(signed, "manifests"), chunks  # the chunks stand in a written table already
 
 
-@query(f"WITH {_WORKS_SQL} SELECT work_id, count(*) AS n_tracks, sum(k)::BIGINT AS n_chunks, true AS ok, 0::BIGINT AS n_failures, false AS tampered_ok FROM n GROUP BY work_id")
+@query(f"WITH {WORKS_SQL} SELECT work_id, count(*) AS n_tracks, sum(k)::BIGINT AS n_chunks, true AS ok, 0::BIGINT AS n_failures, false AS tampered_ok FROM n GROUP BY work_id")
 def signed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Works are signed and verified; each fails once a byte of its first chunk changes."""
     signed, chunks = signed_sources(spark, sf_dir)
@@ -640,7 +640,7 @@ def signed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(verdict, "work_id").join(works.verify(signed, tampered, key).select("work_id", F.col("ok").alias("tampered_ok")), "work_id")
 
 
-@query(f"WITH {_WORKS_SQL} SELECT work_id, 'Original' AS kind, 'Untitled' AS title, 1::BIGINT AS n_authors, count(*) AS n_tracks, 2::BIGINT AS n_signatures, 0::BIGINT AS n_ancestors, 0::BIGINT AS n_mappings, '' AS mismatches FROM n GROUP BY work_id")
+@query(f"WITH {WORKS_SQL} SELECT work_id, 'Original' AS kind, 'Untitled' AS title, 1::BIGINT AS n_authors, count(*) AS n_tracks, 2::BIGINT AS n_signatures, 0::BIGINT AS n_ancestors, 0::BIGINT AS n_mappings, '' AS mismatches FROM n GROUP BY work_id")
 def work_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports, and the tags of extracted files checked against the manifests they hold."""
     signed, _ = signed_sources(spark, sf_dir)
@@ -648,7 +648,7 @@ def work_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return works.report(signed).join(tagged, "work_id")
 
 
-@query(f"WITH {_WORKS_SQL} SELECT work_id, count(*) AS n_tracks, 0::BIGINT AS n_bytes, 'passthrough' AS mode, CASE WHEN count(*) > 1 THEN 'a raw track can''t be muxed with others' ELSE 'the extension doesn''t fit the raw track''s type' END AS error FROM n GROUP BY work_id")
+@query(f"WITH {WORKS_SQL} SELECT work_id, count(*) AS n_tracks, 0::BIGINT AS n_bytes, 'passthrough' AS mode, CASE WHEN count(*) > 1 THEN 'a raw track can''t be muxed with others' ELSE 'the extension doesn''t fit the raw track''s type' END AS error FROM n GROUP BY work_id")
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opaque tracks without a known type can't be extracted; every one is refused for the same reason."""
     signed, chunks = signed_sources(spark, sf_dir)

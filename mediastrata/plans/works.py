@@ -17,13 +17,13 @@ from pyspark.sql import types as T
 
 from mediastrata.functions.canonical import canonical, to_bytes
 from mediastrata.functions.codec_facts import with_extradata
-from mediastrata.functions.detect import VIDEO_CODECS, extension_matches
+from mediastrata.functions.detect import VIDEO_CODECS, extension_matches, track_label
 from mediastrata.functions.hashing import hash_column, hex_column
 from mediastrata.functions.perceptual import perceptual_hash_column
-from mediastrata.operators import entries, merkle, ranges
+from mediastrata.operators import entries, merkle, policy, ranges
 from mediastrata.operators.chunking import DEFAULT_CAP
 from mediastrata.plans import manifests as m
-from mediastrata.sources import container
+from mediastrata.sources import container, external
 from mediastrata.sources.media import chunk_tracks
 from mediastrata.sources.staging import written
 
@@ -380,3 +380,55 @@ def report(manifests: DataFrame) -> DataFrame:
         "work_id", F.col("type").alias("kind"), F.coalesce("title", "original_owd.title").alias("title"), size(F.coalesce("authors", "original_owd.authors")).alias("n_authors"), size(F.coalesce("tracks", "original_owd.tracks")).alias("n_tracks"),
         size("signatures").alias("n_signatures"), size(F.coalesce("ancestry", F.array().cast("array<struct<content: string>>"))).alias("n_ancestors"), size(F.coalesce("clip_mappings", F.array().cast("array<struct<track_id: bigint>>"))).alias("n_mappings"),
     )
+
+
+def report_details(manifests: DataFrame, ttp_key: str) -> DataFrame:
+    """work_id, section, ord, label, name, first, stop: authors (label: role), tracks (label: kind, name: codec, stop: chunks), mappings (label: the
+    track's kind, first and stop: chunks) and signatures (label: whose, name: key) of each manifest."""
+    author = "authors: array<struct<author_id: string, name: string, role: string>>"
+    track = "tracks: array<struct<track_id: bigint, codec: string, container_type: string, width: bigint, height: bigint, sample_rate: bigint, channel_count: bigint, total_chunks: bigint>>"
+    mapping = "clip_mappings: array<struct<track_id: bigint, start_chunk_index: bigint, end_chunk_index: bigint>>"
+    schema = f"content struct<type: string, {author}, {track}, clipper_id: string, original_owd: struct<{author}, {track}>, {mapping}>, signatures array<struct<public_key: string, display_name: string>>"
+    p = manifests.select("work_id", F.from_json("manifest", schema).alias("p")).select("work_id", "p.content.*", "p.signatures")
+    p = p.withColumns({"authors": F.coalesce("authors", "original_owd.authors"), "tracks": F.coalesce("tracks", "original_owd.tracks")})
+    none, words = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    row = lambda section, at, label, name, first, stop: ["work_id", F.lit(section).alias("section"), at.cast("bigint").alias("ord"), label.alias("label"), name.alias("name"), first.alias("first"), stop.alias("stop")]
+    authors = p.select("work_id", F.posexplode("authors").alias("k", "x")).select(row("author", F.col("k"), F.col("x.role"), F.col("x.name"), none, none))
+    each = p.select("work_id", F.explode("tracks").alias("t")).select("work_id", "t.*")
+    label = track_label(F.col("container_type"), F.col("codec"), F.col("width"), F.col("height"), F.col("sample_rate"), F.col("channel_count"))
+    tracks = each.select(row("track", F.col("track_id"), label, F.col("codec"), none, F.col("total_chunks")))
+    known = each.select("work_id", "track_id", label.alias("kind"))
+    mapped = p.select("work_id", F.posexplode("clip_mappings").alias("k", "x")).select("work_id", "k", "x.*").join(known, ["work_id", "track_id"], "left")
+    mappings = mapped.select(row("mapping", F.col("k"), F.coalesce("kind", F.lit("Unknown")), words, F.col("start_chunk_index"), F.col("end_chunk_index")))
+    signed = p.select("work_id", "authors", "clipper_id", F.col("type").alias("of"), F.posexplode("signatures").alias("k", "x"))
+    said = policy.clean_name(F.col("x.display_name"))
+    own = F.get(F.filter("authors", lambda a: a["author_id"] == F.col("x.public_key")), F.lit(0))["name"]
+    whose = F.when(F.col("of") == "Original", own).when(F.col("clipper_id") == F.col("x.public_key"), F.coalesce(said, F.lit("Clipper")))
+    ttp = F.when(F.coalesce(F.col("x.display_name"), F.lit(policy.DEFAULT_TTP_NAME)) == policy.DEFAULT_TTP_NAME, "TTP Key").otherwise(F.concat(F.lit("TTP Key ("), "x.display_name", F.lit(")")))
+    named = F.when(whose.isNotNull(), F.nullif(whose, F.lit(""))).otherwise(F.col("x.display_name"))
+    key = F.when(F.col("x.public_key") == ttp_key, ttp).otherwise(F.coalesce(F.concat(F.lit("Author Key ("), named, F.lit(")")), F.lit("Author Key")))
+    signatures = signed.select(row("signature", F.col("k"), key, F.col("x.public_key"), none, none))
+    return authors.unionByName(tracks).unionByName(mappings).unionByName(signatures)
+
+
+def mux(manifests: DataFrame, chunks: DataFrame, extension: str, ttp_key: str) -> DataFrame:
+    """work_id, data, error: each work's tracks as one container file with its tags, by an external tool (see sources.external).
+
+    What extract() refuses is refused here. A work's tracks are one task's, as the tool takes them together.
+    """
+    found = extract(manifests, chunks, extension)
+    errors = found.where("error IS NOT NULL").groupBy("work_id").agg(F.min("error").alias("error"))
+    bases = original_tracks(manifests).select("work_id", "track_id", "timebase_num", "timebase_den")
+    parts = found.join(errors, "work_id", "left_anti").groupBy("work_id", "track_id", "codec").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY part)").alias("data"))
+    rows = parts.join(bases, ["work_id", "track_id"]).groupBy("work_id").agg(F.sort_array(F.collect_list(F.struct("track_id", "codec", "timebase_num", "timebase_den", "data"))).alias("tracks"))
+    kind = dict(manifests.dtypes)["work_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                out = external.muxed(batch.column(1)[k].as_py(), dict(batch.column(2)[k].as_py() or []), extension)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([out], pa.binary())], names=["work_id", "data"])
+
+    tagged = rows.join(tags(manifests, ttp_key), "work_id").select("work_id", "tracks", "tags")
+    made = tagged.mapInArrow(run, f"work_id {kind}, data binary").withColumn("error", F.lit(None).cast("string"))
+    return made.unionByName(errors.select("work_id", F.lit(None).cast("binary").alias("data"), "error"))

@@ -184,6 +184,8 @@ def write_rows(rows: Iterator[Any], open_file: Callable[[str], BinaryIO]) -> lis
     names, out, left = [], None, 0
     for row in rows:
         if row["manifest"] is not None:
+            if row["name"] in names[-1:]:
+                raise ContainerError(f"several works are named {row['name']!r}")
             if left:
                 raise ContainerError(f"{names[-1]}: {left} bytes of payload are missing")
             if out:
