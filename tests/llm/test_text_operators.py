@@ -54,11 +54,13 @@ def test_quality_hosts(spark, odd, empty):
     assert not any(got[1000 + k] for k in range(300))
     assert all(got[k] == bool(k % 20) for k in range(300))
     assert {r["doc_id"] for r in quality.filter_documents(docs).collect()} == {k for k, v in got.items() if v}
-    few, quality.BROADCAST_HOSTS = quality.BROADCAST_HOSTS, 0
+    before = quality.BROADCAST_HOSTS, quality.HOT_SHARE
     try:
-        assert {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()} == got
+        for share in (1e-4, 0.3, 2.0):  # every host is hot, the bad one is, none is
+            quality.BROADCAST_HOSTS, quality.HOT_SHARE = 0, share
+            assert {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()} == got
     finally:
-        quality.BROADCAST_HOSTS = few
+        quality.BROADCAST_HOSTS, quality.HOT_SHARE = before
     assert quality.quality_rules(odd).count() == odd.count()
     assert quality.filter_documents(odd).columns == odd.columns
     assert quality.quality_rules(empty).count() == quality.filter_documents(empty).count() == 0
