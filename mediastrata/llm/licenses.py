@@ -2,15 +2,16 @@
 
 A text's words (runs of letters and digits, lower-cased) give shingles of five words; a template of fewer words is one
 shingle of its own length. Windows are runs of shingles that overlap by half, of a length that the template's length chooses
-(CLASSES), so that several windows lie wholly in any passage that holds the template. A window's bands are its MinHash values: under
-each of BANDS orders, its least shingle. Templates are cut into windows of the same lengths, at every offset or at a few, and their bands are a
+(CLASSES), so that several windows lie wholly in any passage that holds the template. A window's bands are its MinHash sketch: its few least
+shingle hashes, one a band. Templates are cut into windows of the same lengths, at every offset or at a few, and their bands are a
 broadcast table. An equi-join on the band retrieves (document, template); nothing else of a document is looked at.
 
 What the settings guarantee, for a passage that holds at least 0.8 of a template's shingles: a window that the passage holds unchanged is a
 window of the template, and all its bands are equal. Of a template of 24 shingles or more at least four text windows lie inside, which
-hold 0.8 of their shingles on average; then the Jaccard similarity is 0.8 / 1.2, a band misses with a probability of 1/3, the
-BANDS bands with under 2e-4, and four windows with under 1e-14 if their misses were independent. Windows of templates of fewer shingles are single
-shingles, and their bands the template's least: as at most a fifth of its k shingles are missing, k / 5 + 1 of them always retrieve it.
+hold 0.8 of their shingles on average; then the Jaccard similarity is 0.8 / 1.2, and a window's 4 bands all miss with a probability of
+(1/3)^4, those of four windows with under 1e-7 if their misses were independent; longer templates have 8 bands. Windows of templates of fewer
+shingles are single shingles, and their bands the template's least: as at most a fifth of its k shingles are missing, k / 5 + 1 of them always
+retrieve it.
 
 Then each retrieved pair is verified: of all windows as long as the template that begin with one of its shingles, those that hold
 0.8 of its distinct shingles are matches, and matches that overlap are one passage.
@@ -30,9 +31,8 @@ from pyspark.sql import functions as F
 from mediastrata.llm.common import table
 
 SHINGLE, CONTAINMENT = 5, 0.8
-BANDS = 8
-#: By the least number of a template's shingles: the windows' length, and the steps from one window to the next in texts and in templates.
-CLASSES = ((1, 1, 1, 1), (24, 8, 4, 1), (96, 32, 16, 4), (384, 128, 64, 16))
+#: By the least number of a template's shingles: the windows' length, the steps from one window to the next in texts and in templates, and a window's bands.
+CLASSES = ((1, 1, 1, 1, 1), (24, 8, 4, 1, 4), (96, 32, 16, 4, 8), (384, 128, 64, 16, 8))
 # Wording of common licenses' notices.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("all-rights-reserved", "All rights reserved."),
@@ -70,18 +70,12 @@ def _shingles(words: str, n: int) -> str:
     return f"if(size({words}) < {n}, {empty}, transform(sequence(0, size({words}) - {n}), i -> xxhash64({', '.join(f'{words}[i + {k}]' for k in range(n))})))"
 
 
-def _orders() -> str:
-    """SQL: an array of numbers; under the k-th, shingles are in the order of their exclusive or with it."""
-    return f"transform(sequence(0, {BANDS - 1}), j -> xxhash64('order', j))"
-
-
-def _bands(shingles: str, length: int, step: int) -> str:
-    """SQL: the bands of all windows of an array of shingle hashes, each of a few once."""
+def _bands(shingles: str, length: int, step: int, bands: int) -> str:
+    """SQL: the bands of all windows of an array of shingle hashes."""
     if length == 1:
         return shingles
-    band = f"xxhash64({length}, j, array_min(transform(w, x -> x ^ c)))"
-    of_window = _let(f"slice({shingles}, at + 1, {length})", "w", f"transform(orders, (c, j) -> {band})")
-    every = _let(_orders(), "orders", f"flatten(transform(sequence(0, size({shingles}) - {length}, {step}), at -> {of_window}))")
+    of_window = f"transform(slice(sort_array(slice({shingles}, at + 1, {length})), 1, {bands}), x -> xxhash64({length}, x))"
+    every = f"flatten(transform(sequence(0, size({shingles}) - {length}, {step}), at -> {of_window}))"
     return f"if(size({shingles}) < {length}, cast(array() as array<bigint>), {every})"
 
 
@@ -93,7 +87,7 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return words.withColumn("n", n).withColumn("g", F.expr(cases)).select("license", "n", F.size("g").alias("m"), F.size(F.array_distinct("g")).alias("k"), "g")
 
 
-def _class_of(m: int) -> tuple[int, int, int, int]:
+def _class_of(m: int) -> tuple[int, int, int, int, int]:
     return [c for c in CLASSES if c[0] <= m][-1]
 
 
@@ -101,9 +95,9 @@ def template_bands(wanted: DataFrame, containment: float = CONTAINMENT) -> DataF
     """(license, band): single shingles, as many of the least as can't all be missing, and the bands of longer templates' windows."""
     few = F.floor(F.col("k") * F.lit(1 - containment) + F.lit(1e-9)).cast("int") + 1
     parts = [wanted.where(F.col("m") < CLASSES[1][0]).select("license", F.explode(F.slice(F.sort_array(F.array_distinct("g")), F.lit(1), few)).alias("band"))]
-    for (least, length, _, step), (beyond, *_) in zip(CLASSES[1:], [*CLASSES[2:], (1 << 31,)], strict=True):
+    for (least, length, _, step, bands), (beyond, *_) in zip(CLASSES[1:], [*CLASSES[2:], (1 << 31,)], strict=True):
         own = wanted.where((F.col("m") >= least) & (F.col("m") < beyond))
-        parts.append(own.select("license", F.explode(F.expr(_bands("g", length, step))).alias("band")))
+        parts.append(own.select("license", F.explode(F.expr(_bands("g", length, step, bands))).alias("band")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
@@ -118,12 +112,12 @@ def retrieve(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
         return None
     lengths = sorted({n for n, _ in sizes})
     shingles = ", ".join(f"'g{n}', {_shingles('h', n)}" for n in lengths)
-    rows = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), F.expr(_let(_word_hashes(f"`{text_col}`"), "h", f"named_struct({shingles})")).alias("s")
-    )
-    bands = ", ".join(_bands("x.g" + str(n), length, step) for n, (_, length, step, _) in sorted(sizes))
-    # The explode's argument isn't a bare column, so that no filter on its size repeats the whole expression.
-    each = rows.select("id", "row", "s", F.explode(F.expr(_let("s", "x", f"array_distinct(concat({bands}, cast(array() as array<bigint>)))"))).alias("band"))
+    bands = ", ".join(_bands("x.g" + str(n), length, step, count) for n, (_, length, step, _, count) in sorted(sizes))
+    both = _let(f"named_struct({shingles})", "x", f"named_struct('s', x, 'bands', array_distinct(concat({bands}, cast(array() as array<bigint>))))")
+    # Beside a number that isn't deterministic, so that no filter on the bands' size is pushed below, where it would compute them once more.
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.monotonically_increasing_id().alias("row"), F.expr(_let(_word_hashes(f"`{text_col}`"), "h", both)).alias("x"))
+    # The explode's argument is a bare column: so it and the join run in one generated loop, which copies no shingles for bands that match nothing.
+    each = rows.select("id", "row", "x.s", "x.bands").select("id", "row", "s", F.explode("bands").alias("band"))
     known = template_bands(wanted, containment).join(wanted.select("license", "n"), "license").select(F.col("band").alias("its"), "license", "n")
     hits = each.join(F.broadcast(known), F.col("band") == F.col("its"))  # broadcast: bands of the templates, which are a parameter
     own = F.expr("case n " + " ".join(f"when {n} then s.g{n}" for n in lengths) + " end")
