@@ -411,18 +411,19 @@ def _without_proof(content: dict, index: int) -> dict:
 
 
 @query(
-    """WITH c AS (SELECT user_id::VARCHAR AS w, (count(*) + 42) // 43 AS n FROM events GROUP BY user_id ORDER BY user_id LIMIT 1)
-SELECT i AS chunk_index, i < least(2, n) AS valid FROM c, range(0, 4) t(i)"""
+    """WITH c AS (SELECT user_id::VARCHAR AS w, (count(*) + 42) // 43 AS n FROM events GROUP BY user_id)
+SELECT 'j' || w AS work_id, i AS chunk_index, i < least(2, n) AS valid FROM c, range(0, 4) t(i)"""
 )
 def json_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One clip's manifest as JSON judges chunks by their indexes: its own, and chunks of indexes that it lacks. One clip is the feature."""
+    """Every clip's manifest as JSON judges chunks by their indexes: its own, and chunks of indexes that it lacks."""
     signed, chunks = registry.signed_audio(spark, sf_dir)
-    first = table(spark, sf_dir, "events").agg(F.min("user_id").cast("string").alias("work_id"))
-    asked = first.select(
-        F.lit("j").alias("request_id"), F.lit("j").alias("derivative_id"), "work_id", F.lit(0).cast("bigint").alias("track_id"), F.lit(None).cast("double").alias("start_time"),
+    name = F.concat(F.lit("j"), "work_id")
+    asked = signed.select(
+        name.alias("request_id"), name.alias("derivative_id"), "work_id", F.lit(0).cast("bigint").alias("track_id"), F.lit(None).cast("double").alias("start_time"),
         F.lit(None).cast("double").alias("end_time"), F.lit(0).cast("bigint").alias("start_chunk"), F.lit(2).cast("bigint").alias("end_chunk"),
     )
     clips, parts, _ = works.clip(signed, chunks, written(asked, "requests"), registry.SIGNERS)
-    numbers = spark.range(4).select(F.col("id").alias("chunk_index"))
-    rows = numbers.join(parts.select("chunk_index", "data"), "chunk_index", "left").withColumn("data", F.coalesce("data", F.lit(b"other")))
-    return verifier.verify_json(rows, clips.first()["manifest"]).select("chunk_index", "valid")
+    numbers = written(clips, "clips").withColumn("chunk_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))))
+    rows = numbers.join(parts.select("work_id", "chunk_index", "data"), ["work_id", "chunk_index"], "left").withColumn("data", F.coalesce("data", F.lit(b"other")))
+    judged = verifier.verify_json(rows.select(F.struct("manifest", "work_id").alias("own"), "manifest", "chunk_index", "data"))
+    return judged.select("own.work_id", "chunk_index", "valid")
