@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mediastrata.functions.hashing import HASHERS, hash_column
+from mediastrata.functions.hashing import HASHERS, SLAB_BYTES, Hashing, blake3_many, hash_column, slabs, together
 
 EMPTY_ROOT = "00" * 32
 #: Levels of a tree that the fold in blocks takes at a time.
@@ -45,18 +45,34 @@ def root_of(hashes: Column) -> Column:
 
 @F.arrow_udf(T.StringType())
 def _blake3_root(hashes: pa.Array) -> pa.Array:
-    return pa.array([None if h is None else tree([bytes.fromhex(x) for x in h])[-1][0].hex() for h in hashes.to_pylist()], pa.string())
+    out = []
+    for slab in slabs(hashes.to_pylist(), lambda h: 96 * len(h or ()), SLAB_BYTES):
+        grown = iter(together([growing([bytes.fromhex(x) for x in h]) for h in slab if h is not None]))
+        out += [None if h is None else next(grown)[-1][0].hex() for h in slab]
+    return pa.array(out, pa.string())
 
 
-def tree(nodes: list[bytes], algorithm: str = "blake3") -> list[list[bytes]]:
-    """The levels of one small tree, from leaves to root."""
-    digest, levels = HASHERS[algorithm], [nodes or [bytes(32)]]
+def growing(nodes: list[bytes]) -> Hashing[list[list[bytes]]]:
+    """The levels of one small tree, from leaves to root, whose hashes another makes; see hashing.together."""
+    levels = [nodes or [bytes(32)]]
     while len(levels[-1]) > 1:
         below = levels[-1]
-        levels.append([digest(below[i] + below[i + 1]) if i + 1 < len(below) else below[i] for i in range(0, len(below), 2)])
+        odd = below[len(below) & ~1 :]
+        levels.append((yield [below[i] + below[i + 1] for i in range(0, len(below) - 1, 2)]) + odd)
     return levels
 
 
+def tree(nodes: list[bytes], algorithm: str = "blake3") -> list[list[bytes]]:
+    """The levels of one small tree, from leaves to root."""
+    job, hashes = growing(nodes), None
+    while True:
+        try:
+            wanted = job.send(hashes)
+        except StopIteration as e:
+            return e.value
+        hashes = blake3_many(wanted) if algorithm == "blake3" else [HASHERS[algorithm](x) for x in wanted]
+
+
 def _fold(nodes: Column, algorithm: str) -> Column:
     return root_of(nodes) if algorithm == "sha256" else _blake3_root(nodes)
 

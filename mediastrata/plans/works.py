@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from mediastrata.functions.canonical import canonical, to_bytes
 from mediastrata.functions.codec_facts import with_extradata
 from mediastrata.functions.detect import VIDEO_CODECS, extension_matches, track_label
-from mediastrata.functions.hashing import hash_column, hex_column
+from mediastrata.functions.hashing import Hashing, hash_column, hex_column, slabs, together
 from mediastrata.functions.perceptual import perceptual_hash_column
 from mediastrata.operators import entries, merkle, policy, ranges
 from mediastrata.operators.chunking import DEFAULT_CAP
@@ -79,17 +79,23 @@ def sign(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [to_bytes(m.signed(m.original(str(w), title, [author], created_at, json.loads(t)), signers)).decode() for w, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            out = []
+            for slab in slabs(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda x: len(x[1])):
+                out += _texts(m.signed([m.original(str(w), title, [author], created_at, json.loads(t)) for w, t in slab], signers))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["work_id", "manifest"])
 
     kind = dict(files.dtypes)["work_id"]
     return works.mapInArrow(write, f"work_id {kind}, manifest string"), placed.select("work_id", "track_id", "chunk_index", "pts", "is_idr", "offset", "size", "data")
 
 
-def _checked(text: str | None, ttp_key: str) -> list[m.Check]:
+def _texts(manifests: list[dict[str, Any]]) -> list[str]:
+    return [to_bytes(x).decode() for x in manifests]
+
+
+def _checking(text: str | None, ttp_key: str) -> Hashing[list[m.Check]]:
     """The checks of one manifest; one that can't be read, or lacks what it must hold, fails as malformed."""
     try:
-        return list(m.checks(canonical("manifest", json.loads(text or "")), ttp_key))
+        return (yield from m.checks(canonical("manifest", json.loads(text or "")), ttp_key))
     except (ValueError, KeyError, TypeError, AttributeError, IndexError) as e:
         return [m.Check("malformed", -1, False, message=f"{type(e).__name__}: {e}"[:200])]
 
@@ -99,8 +105,9 @@ def resigned(manifests: DataFrame, signers: m.Signers, change: Callable[[dict[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents = [canonical("manifest", json.loads(t))["content"] for t in batch.column(1).to_pylist()]
-            out = [to_bytes(m.signed(change(c), signers)).decode() for c in contents]
+            out = []
+            for slab in slabs(batch.column(1).to_pylist(), len):
+                out += _texts(m.signed([change(canonical("manifest", json.loads(t))["content"]) for t in slab], signers))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["work_id", "manifest"])
 
     kind = dict(manifests.dtypes)["work_id"]
@@ -112,8 +119,10 @@ def manifest_checks(manifests: DataFrame, ttp_key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            rows = [(work, c.code, c.order, c.ok, c.track_id, c.chunk_index, c.message) for work, text in pairs for c in _checked(text, ttp_key)]
+            rows = []
+            for slab in slabs(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), lambda x: len(x[1] or "")):
+                found = together([_checking(text, ttp_key) for _, text in slab])
+                rows += [(work, c.code, c.order, c.ok, c.track_id, c.chunk_index, c.message) for (work, _), own in zip(slab, found, strict=True) for c in own]
             columns = zip(*rows, strict=True) if rows else [[]] * 7
             kinds = [batch.schema.field(0).type, pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["work_id", "code", "ord", "ok", "track_id", "chunk_index", "message"])
@@ -176,14 +185,16 @@ _MADE = T.ArrayType(T.StructType([T.StructField("chunk_index", T.LongType()), T.
 def _paths(indexes: pa.Array, hashes: pa.Array, wanted: pa.Array) -> pa.Array:
     """The BLAKE3 proof paths of the wanted leaves of each track."""
     out = []
-    for numbers, leaves, chosen in zip(indexes.to_pylist(), hashes.to_pylist(), wanted.to_pylist(), strict=True):
-        levels, chosen, made = merkle.tree([bytes.fromhex(x) for x in leaves]), set(chosen), []
-        for pos, number in enumerate(numbers):
-            if number in chosen:
-                siblings = [((pos >> k) ^ 1, bool(pos >> k & 1), level) for k, level in enumerate(levels[:-1])]
-                steps = [{"is_left": left, "hash": level[at].hex()} for at, left, level in siblings if at < len(level)]
-                made.append({"chunk_index": number, "hash": leaves[pos], "path": steps})
-        out.append(made)
+    for slab in slabs(zip(indexes.to_pylist(), hashes.to_pylist(), wanted.to_pylist(), strict=True), lambda x: 96 * len(x[1])):
+        grown = together([merkle.growing([bytes.fromhex(x) for x in leaves]) for _, leaves, _ in slab])
+        for (numbers, leaves, chosen), levels in zip(slab, grown, strict=True):
+            chosen, made = set(chosen), []
+            for pos, number in enumerate(numbers):
+                if number in chosen:
+                    siblings = [((pos >> k) ^ 1, bool(pos >> k & 1), level) for k, level in enumerate(levels[:-1])]
+                    steps = [{"is_left": left, "hash": level[at].hex()} for at, left, level in siblings if at < len(level)]
+                    made.append({"chunk_index": number, "hash": leaves[pos], "path": steps})
+            out.append(made)
     return pa.array(out, pa.list_(pa.struct([("chunk_index", pa.int64()), ("hash", pa.string()), ("path", pa.list_(pa.struct([("is_left", pa.bool_()), ("hash", pa.string())])))])))
 
 
@@ -277,9 +288,9 @@ def clip(
         clipper = signers.author.public_key().hex()
         for batch in batches:
             out = []
-            for derivative_id, source, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                content = m.derivative(str(derivative_id), canonical("manifest", json.loads(source)), clipper, created_at, json.loads(part))
-                out.append(to_bytes(m.signed(content, signers)).decode())
+            for slab in slabs(zip(*(c.to_pylist() for c in batch.columns), strict=True), lambda x: len(x[1]) + len(x[2])):
+                contents = [m.derivative(str(name), canonical("manifest", json.loads(source)), clipper, created_at, json.loads(part)) for name, source, part in slab]
+                out += _texts(m.signed(contents, signers))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["work_id", "manifest"])
 
     id_kind = dict(requests.dtypes)["derivative_id"]

@@ -16,6 +16,9 @@ from mediastrata.sources import bitstream
 TRACK = "codec string, container_type string, codec_extradata string, width bigint, height bigint, sample_rate bigint, channel_count int, timebase_num bigint, timebase_den bigint"
 CHUNK = "chunk_index bigint, pts bigint, is_idr boolean, data binary, at bigint"
 
+#: Bytes of small files' chunks that leave a task at once, about.
+BATCH_BYTES = 4 << 20
+
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, data) of whole files."""
@@ -54,10 +57,14 @@ def chunk_tracks(files: DataFrame, keys: list[str], data_col: str = "data", code
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), TRACK, CHUNK])
     names = [x.split()[0].strip("`") for x in schema.split(", ")]
 
+    def made(rows: list[list], to: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), to, strict=True)], schema=to)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = None
         for batch in batches:
             to = to or pa.schema([batch.schema.field(k) for k in range(len(keys))] + [pa.field(n, t) for n, t in zip(names[len(keys) :], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64()), strict=True)])
+            out, held = [], 0
             for row in batch.to_pylist():
                 content, codec = row["__data"] or b"", row["__codec"]
                 stream = None if row["__opaque"] else bitstream.by_codec(content, codec) if codec else bitstream.elementary(content)
@@ -66,12 +73,16 @@ def chunk_tracks(files: DataFrame, keys: list[str], data_col: str = "data", code
                 s = stream or bitstream.Stream("raw")
                 num, den = s.timebase or (None, None)
                 facts = [row[k] for k in keys] + [s.codec, row["__kind"], s.extradata.hex() if s.extradata is not None else None, s.width, s.height, s.sample_rate, s.channels, num, den]
-                out, at = [], 0
+                at = 0
                 for k, (pts, idr, part) in enumerate(stream_chunks(content, stream, cap)):
                     out.append([*facts, k, pts, idr, part, at])
                     at += len(part)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), to, strict=True)], schema=to)
+                held += at
+                if held >= BATCH_BYTES:
+                    yield made(out, to)
+                    out, held = [], 0
+            if out:
+                yield made(out, to)
 
     return rows.mapInArrow(run, schema)
 
