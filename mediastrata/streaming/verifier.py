@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from mediastrata.functions.hashing import blake3, hash_column, hex_column
+from mediastrata.functions.hashing import blake3, hash_column, hex_column, slabs, together
 from mediastrata.operators import merkle
 from mediastrata.plans import manifests as m
 from mediastrata.plans import works
@@ -26,7 +26,12 @@ from mediastrata.plans import works
 @F.arrow_udf(T.BooleanType())
 def _proves(proof: pa.Array, root: pa.Array) -> pa.Array:
     """Whether each proof's path leads from its hash to the root."""
-    return pa.array([r is not None and m.proves(r, {**p, "hash": p["hash"] or "", "path": p["path"] or []}) for p, r in zip(proof.to_pylist(), root.to_pylist(), strict=True)], pa.bool_())
+    out = []
+    pairs = zip(root.to_pylist(), proof.to_pylist(), strict=True)
+    for slab in slabs(pairs, lambda x: 96 * (1 + len(x[1]["path"] or ()))):
+        jobs = [m.proving([(r or "", {"hash": p["hash"] or "", "path": p["path"] or []}) for r, p in slab])]
+        out += together(jobs)[0]
+    return pa.array(out, pa.bool_())
 
 
 def known_proofs(manifests: DataFrame, compat: bool = False) -> DataFrame:
