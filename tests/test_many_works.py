@@ -1,8 +1,9 @@
-"""Work on many small works goes by batches: hashes are made together."""
+"""Work on many small works goes by batches: hashes are made together, and keys that come again have tables."""
 
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 
@@ -92,3 +93,23 @@ def test_json_verifier_of_many_clips(spark):
     got = verifier.verify_json(spark.createDataFrame(rows, "manifest string, chunk_index bigint, data binary")).collect()
     want = {(t, i): i in (1, 2) for t in texts for i in range(5)} | {("{", 1): False}
     assert len(got) == len(want) and {(r["manifest"], r["chunk_index"]): r["valid"] for r in got} == want
+
+
+def test_keys_that_come_again_have_tables(monkeypatch):
+    """missing_proofs: signing and checking go by tables, and find what the plain form finds."""
+    doubled = [0]
+    real = ed25519._add
+    monkeypatch.setattr(ed25519, "_add", lambda p, q: (doubled.__setitem__(0, doubled[0] + 1), real(p, q))[1])
+    key = ed25519.SigningKey(os.urandom(32))
+    signatures = [key.sign(b"%d" % k) for k in range(60)]
+    ends = [ed25519.verify(key.public_key(), b"%d" % k, s) for k, s in enumerate(signatures)]
+    assert ends == [True] * 60
+    doubled[0] = 0
+    key.sign(b"again")
+    for k, s in enumerate(signatures):
+        assert not ed25519.verify(key.public_key(), b"other %d" % k, s) and not ed25519.verify(key.public_key(), b"%d" % k, s[:32] + bytes(32))
+        high = int.from_bytes(s[32:], "little") + ed25519._L
+        assert not ed25519.verify(key.public_key(), b"%d" % k, s[:32] + high.to_bytes(32, "little"))
+    assert doubled[0] <= 2 * 60
+    for odd in (b"", b"x" * 31, (2**255 - 19).to_bytes(32, "little"), b"\xff" * 32, b"\1" + bytes(30) + b"\x80"):
+        assert not ed25519.verify(odd, b"0", signatures[0])
