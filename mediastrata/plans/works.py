@@ -35,6 +35,8 @@ _STEP = T.StructType([T.StructField("is_left", T.BooleanType()), T.StructField("
 BROADCAST_ROWS = 1_000_000
 #: Bytes of a part of an extracted track, about.
 PART_BYTES = 64 << 20
+#: From so many rows on, manifests that are to be signed are dealt out to all tasks.
+DEALT_ROWS = 1_000
 
 
 def _beside_payload(small: DataFrame) -> DataFrame:
@@ -42,6 +44,11 @@ def _beside_payload(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
 
+def _dealt(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """n rows by their key, for signing: in as many tasks as shuffles have, as its time goes by rows, by whose few bytes they'd be one task's."""
+    return rows if n < DEALT_ROWS else rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def sign(
     files: DataFrame,
     signers: m.Signers,
@@ -75,7 +82,7 @@ def sign(
         F.sort_array(F.collect_list(F.struct("chunk_index", "pts", "offset", "size"))).alias("chunk_index"), F.max("perceptual_hash").alias("perceptual_hash"), F.count("*").alias("total_chunks"), F.lit(cap).cast("bigint").alias("chunk_size")
     )
     tracks = tracks.join(roots.select("work_id", "track_id", "merkle_root"), ["work_id", "track_id"])
-    works = tracks.groupBy("work_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("track_id", *_FACTS, "merkle_root", "perceptual_hash", "total_chunks", "chunk_size", "chunk_index")))).alias("tracks"))
+    works = _dealt(tracks, inputs.count(), "work_id").groupBy("work_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("track_id", *_FACTS, "merkle_root", "perceptual_hash", "total_chunks", "chunk_size", "chunk_index")))).alias("tracks"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +308,7 @@ def clip(
     why = F.coalesce("error", "why", F.when(F.col("timed").isNull(), "no usable range").when(F.col("cut").isNull(), "no chunks are in the range"))
     told = status.join(lacking, "request_id", "left").join(each.select("request_id", F.lit(True).alias("timed")).distinct(), "request_id", "left")
     told = told.join(proofs.select("request_id", F.lit(True).alias("cut")).distinct(), "request_id", "left").select("request_id", "derivative_id", "work_id", why.alias("error"))
-    return ready.mapInArrow(write, f"work_id {id_kind}, manifest string"), rows, told.where("error IS NOT NULL")
+    return _dealt(ready, asked.count(), "derivative_id").mapInArrow(write, f"work_id {id_kind}, manifest string"), rows, told.where("error IS NOT NULL")
 
 
 def containers(manifests: DataFrame, chunks: DataFrame, name: str = "concat(work_id, '.smed')") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Work on many small works goes by batches: hashes are made together, and keys that come again have tables."""
+"""Work on many small works goes by batches: hashes are made together, keys that come again have tables, and signing is dealt out."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from mediastrata.functions import canonical, ed25519, hashing
 from mediastrata.operators import merkle
@@ -113,3 +114,28 @@ def test_keys_that_come_again_have_tables(monkeypatch):
     assert doubled[0] <= 2 * 60
     for odd in (b"", b"x" * 31, (2**255 - 19).to_bytes(32, "little"), b"\xff" * 32, b"\1" + bytes(30) + b"\x80"):
         assert not ed25519.verify(odd, b"0", signatures[0])
+
+
+def _audio(k: int, frames: int) -> bytes:
+    body = b"%06d" % k
+    n = len(body) + 7
+    return (bytes.fromhex(f"FFF150{0x80 | n >> 11:02X}{n >> 3 & 255:02X}{(n & 7) << 5 | 31:02X}FC") + body) * frames
+
+
+def test_signing_many_works_is_dealt_out(spark, monkeypatch):
+    """later_clips: manifests are few bytes, and were one task's to sign."""
+    tasks = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    rows = [(f"w{k}", 0, bytearray(_audio(k, 90))) for k in range(80)]
+    files = spark.createDataFrame(rows, "work_id string, input_ord bigint, data binary")
+    monkeypatch.setattr(works, "DEALT_ROWS", 50)
+    signed, chunks = works.sign(files, SIGNERS)
+    assert tasks(signed) == 4
+    held = works.written(signed, "manifests")
+    none = F.lit(None).cast("double")
+    requests = held.select(F.col("work_id").alias("request_id"), F.concat(F.lit("c"), "work_id").alias("derivative_id"), "work_id", F.lit(0).cast("bigint").alias("track_id"), none.alias("start_time"), none.alias("end_time"), F.lit(1).cast("bigint").alias("start_chunk"), F.lit(3).cast("bigint").alias("end_chunk"))
+    clips, parts, errors = works.clip(held, chunks, works.written(requests, "requests"), SIGNERS)
+    assert tasks(clips) == 4 and errors.count() == 0 and parts.count() == 160
+    verdict = works.verify(clips, parts, TTP).collect()
+    assert len(verdict) == 80 and all(r["ok"] for r in verdict)
+    monkeypatch.setattr(works, "DEALT_ROWS", 81)
+    assert tasks(works.sign(files, SIGNERS)[0]) == 1
