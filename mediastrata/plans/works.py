@@ -230,15 +230,18 @@ def _asked(manifests: DataFrame, requests: DataFrame, bases: DataFrame, ttp_key:
 def _windows(asked: DataFrame, index: DataFrame, bases: DataFrame) -> DataFrame:
     """(request_id, start_time, end_time) for every track of each request's work, begun at an IDR of every video track that has one before it."""
     keys = ["work_id", "track_id"]
-    open_range = written(ranges.time_to_chunks(asked.where("kind = 'open_time'"), index, keys), "clip-open")
+    opened = asked.where("kind = 'open_time'")
     by_index = asked.where("kind = 'index'").select("request_id", F.col("start_chunk").alias("first_chunk"), "end_chunk")
-    by_index = by_index.unionByName(open_range.select("request_id", "first_chunk", "end_chunk"))
+    if not opened.isEmpty():
+        by_index = by_index.unionByName(written(ranges.time_to_chunks(opened, index, keys), "clip-open").select("request_id", "first_chunk", "end_chunk"))
     timed = ranges.chunks_to_time(by_index.join(asked.select("request_id", *keys, "timebase_num", "timebase_den"), "request_id"), index, keys)
     given = asked.where("kind = 'time'").select("request_id", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"))
     window = given.unionByName(timed.select("request_id", "start_time", "end_time")).where("start_time IS NOT NULL AND end_time IS NOT NULL")
     each = window.join(asked.select("request_id", "work_id"), "request_id").join(bases, "work_id").withColumn("part", F.concat_ws("/", "request_id", "track_id"))
     each = written(each, "clip-windows")
     video = each.where(F.lower("codec").isin(*VIDEO_CODECS))
+    if video.isEmpty():  # nothing to snap to; the plans of that are most of the driver's work
+        return each
     first = written(ranges.time_to_chunks(video, index, keys, "part").where("first_chunk IS NOT NULL").join(video, "part"), "clip-video")
     snapped = written(ranges.snap_to_idr(first, index, keys, "part").where("idr_chunk IS NOT NULL"), "clip-snapped")
     from_idr = snapped.select("part", *keys, F.col("idr_chunk").alias("first_chunk"), (F.col("idr_chunk") + 1).alias("end_chunk"))
